@@ -9,8 +9,13 @@
 3. 32 bands of 4 registers: at a similarity of 0.8 all bands miss with probability 5e-8.
    A text of a shared bucket is paired with the bucket's least text only, never with all.
 4. Pairs are verified on whole texts: the exact Jaccard similarity of their shingle sets.
-5. Verified links give components. Buckets that still hold two components are paired again,
-   across components only, so that no link is lost to the choice of the least text.
+5. Verified links give components. Texts in buckets that still hold two components are looked
+   at again, so that no link is lost to the choice of the least text. A shingle that stands in
+   one of these texts only belongs to no overlap: with n shingles, u of them its own, a text
+   shares at most n - u with any other, which bounds the similarity of a pair. Where the bound
+   is too low for every partner, the text leaves. The others are paired with their bucket's
+   most central text (least share of own shingles), and after that, across components only,
+   where the bound allows a link. Edits make shingles of one's own, so what is left is few.
 
 Defined cases: null is the empty text; a text of fewer than five words has one shingle, all
 its words; texts without a word are similar only to each other; repeated rows and equal
@@ -93,15 +98,15 @@ def probminhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs
     return sign.reshape(n_docs, registers)
 
 
-def bands(texts: list[bytes], width: int = SHINGLE, registers: int = REGISTERS, band: int = BAND) -> np.ndarray:
-    """Band hashes (texts x registers // band, int64)."""
+def bands(texts: list[bytes], width: int = SHINGLE, registers: int = REGISTERS, band: int = BAND) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes (texts x registers // band, int64) and numbers of shingles."""
     doc, element, count = shingles(texts, width)
     sign = probminhash(doc, element, 1.0 + np.log(count), len(texts), registers)
     parts = sign.reshape(len(texts), registers // band, band)
     h = np.broadcast_to(np.arange(registers // band, dtype=np.uint64) + np.uint64(1), parts.shape[:2]) * _GOLD
     for j in range(band):
         h = mix64((h ^ parts[:, :, j]) * _GOLD + np.uint64(j))
-    return h.view(np.int64)
+    return h.view(np.int64), np.bincount(doc, minlength=len(texts))
 
 
 def jaccard(a: list[bytes], b: list[bytes], width: int = SHINGLE) -> np.ndarray:
@@ -122,10 +127,10 @@ def _sign(width: int, registers: int, band: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in slices(batch.column("text"), 2 << 20):
-                h = bands(part, width, registers, band)
+                h, n = bands(part, width, registers, band)
                 rows = batch.slice(first, len(part)).select(["uid", "k1", "k2"])
                 flat = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * h.shape[1], pa.array(np.ascontiguousarray(h).ravel()))
-                yield pa.RecordBatch.from_arrays([*rows.columns, flat], names=["uid", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(n, pa.int32()), flat], names=["uid", "k1", "k2", "n", "bands"])
 
     return run
 
@@ -142,18 +147,29 @@ def _verify(width: int, least: float):
     return run
 
 
+def _spell_out(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uid = batch.column("uid").to_numpy()
+            for first, part in slices(batch.column("text"), 1 << 20):
+                doc, h, _ = shingles(part, width)
+                yield pa.RecordBatch.from_arrays([pa.array(uid[first + doc]), pa.array(h.view(np.int64))], names=["uid", "h"])
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = SHINGLE, similarity: float = 0.8,
     registers: int = REGISTERS, band: int = BAND,
 ) -> DataFrame:
-    """One row per input row: (uid, id, class_uid, class_id, n_links).
+    """One row per input row: (uid, id, class_uid, class_id).
 
-    uid numbers the rows of ``docs``; class_uid is the uid of the class's kept row and class_id its id,
-    the least non-null id of the class. n_links counts the verified links between different texts that the row's text has.
+    uid numbers the rows of ``docs`` (a table read from files, whose order is repeatable); class_uid is the uid
+    of the class's kept row and class_id its id, the least non-null id of the class.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = rows.select("uid", "id", "text", *text_key(F.col("text")))
-    signed = materialize(rows.select("uid", "k1", "k2", "text").mapInArrow(_sign(width, registers, band), "uid long, k1 long, k2 long, bands array<long>"), "signed")
+    signed = materialize(rows.select("uid", "k1", "k2", "text").mapInArrow(_sign(width, registers, band), "uid long, k1 long, k2 long, n int, bands array<long>"), "signed")
     reps = signed.groupBy("k1", "k2").agg(F.min("uid").alias("rep"))
     one = signed.join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi")
     slots = materialize(one.select("uid", F.explode("bands").alias("band")), "slots")
@@ -171,23 +187,48 @@ def near_duplicates(
 
     links = verified(first)
     label = materialize(connected_components(links), "labels")
-    # what the least text of a bucket did not link: pairs across components only, each once
-    where = buckets.join(label.select(F.col("node").alias("uid"), "label"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-    open_ = where.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
-    rest = materialize(where.join(open_, "band"), "open")
-    left = rest.select("band", F.col("uid").alias("a"), F.col("label").alias("la"), "pivot").where("a <> pivot")
-    right = rest.select("band", F.col("uid").alias("b"), F.col("label").alias("lb")).where("b <> pivot")
-    again = left.join(right, "band").where("a < b and la <> lb").select("a", "b").distinct()
-    links = materialize(links.unionByName(verified(again.join(first, ["a", "b"], "left_anti"))), "links")
-    label = connected_components(links)
-
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+
+    def still_open(label: DataFrame, among: DataFrame) -> DataFrame:
+        """The rows of buckets that hold more than one component."""
+        where = among.join(label.select(F.col("node").alias("uid"), "label"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+        several = where.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
+        return where.join(several, "band")
+
+    rest = materialize(still_open(label, buckets.select("band", "uid")), "open")
+    words = texts.join(rest.select("uid").distinct(), "uid", "left_semi").mapInArrow(_spell_out(width), "uid long, h long")
+    lone = words.groupBy("h").agg(F.count("*").alias("k"), F.min("uid").alias("uid")).where("k = 1").groupBy("uid").agg(F.count("*").alias("u"))
+    bound = signed.select("uid", "n").join(rest.select("uid").distinct(), "uid", "left_semi").join(lone, "uid", "left")
+    bound = bound.select("uid", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("common")).where(F.col("common") >= similarity * F.col("n"))
+    rest = materialize(rest.drop("label").join(bound, "uid"), "bounded")
+    may = F.least("common", "common_b") >= F.lit(similarity) * (F.col("n") + F.col("n_b") - F.least("common", "common_b"))
+    pair = [F.least("uid", "uid_b").alias("a"), F.greatest("uid", "uid_b").alias("b")]
+
+    def across(label: DataFrame, other) -> DataFrame:
+        """Pairs of texts of one bucket and different components whose bound allows a link, with what ``other`` picks."""
+        rows = still_open(label, rest)
+        side = other(rows)
+        return rows.join(side, "band").where((F.col("label") != F.col("label_b")) & may).select(*pair).distinct()
+
+    def central(rows: DataFrame) -> DataFrame:
+        best = F.min(F.struct((1 - F.col("common") / F.col("n")).alias("own"), "uid", "label", "n", "common")).alias("c")
+        return rows.groupBy("band").agg(best).select("band", *[F.col(f"c.{k}").alias(f"{k}_b") for k in ("uid", "label", "n", "common")])
+
+    def everyone(rows: DataFrame) -> DataFrame:
+        return rows.select("band", *[F.col(k).alias(f"{k}_b") for k in ("uid", "label", "n", "common")])
+
+    tested = first
+    for other in (central, everyone):
+        again = materialize(across(label, other).join(tested, ["a", "b"], "left_anti"), "again")
+        tested = tested.unionByName(again)
+        links = materialize(links.unionByName(verified(again)), "links")
+        label = materialize(connected_components(links), "labels")
+
     member = rows.select("uid", "id", "k1", "k2").join(reps, ["k1", "k2"])
-    member = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    member = materialize(member.select("uid", "id", F.coalesce("label", "rep").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "members")
+    member = member.join(label.withColumnRenamed("node", "rep"), "rep", "left")
+    member = materialize(member.select("uid", "id", F.coalesce("label", "rep").alias("class")), "members")
     kept = member.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("k"))
     kept = kept.select("class", F.col("k.uid").alias("class_uid"), F.col("k.id").alias("class_id"))
-    return member.join(kept, "class").select("uid", "id", "class_uid", "class_id", "n_links")
+    return member.join(kept, "class").select("uid", "id", "class_uid", "class_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -27,7 +27,7 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_duplicates(docs).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+    return near_duplicates(docs).select(F.col("id").alias("doc_id"), "class_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
