@@ -57,8 +57,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: flo
 
 
 def offset(source: Column, seed: int) -> Column:
-    """The source's random offset, in units below one copy."""
-    return F.pmod(F.xxhash64(F.lit(seed), source), F.lit(UNIT))
+    """The source's random offset, in units below one copy: 24 bits of a digest of seed and source."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(source, F.lit(""))))
+    return F.conv(F.substring(digest, 1, 6), 16, 10).cast("long")
 
 
 def copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:

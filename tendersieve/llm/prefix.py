@@ -20,10 +20,12 @@ def running_sum(rows: DataFrame, group: list[str], order: list[str], amount: Col
     local = materialize(dealt.withColumn(f"{name}_here", F.sum(f"{name}_amount").over(inside)), "running")
     totals = local.groupBy("part", *group).agg(F.sum(f"{name}_amount").alias("total"))
     before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offset = totals.withColumn("offset", F.coalesce(F.sum("total").over(before), F.lit(0))).drop("total")
-    on = local["part"] == offset["part"]
-    for c in group:
-        on = on & local[c].eqNullSafe(offset[c])
-    joined = local.join(offset.select(F.col("part"), *group, "offset"), on, "left")
-    kept = [local[c] for c in rows.columns if c != name]
-    return joined.select(*kept, (local[f"{name}_here"] + F.coalesce(offset["offset"], F.lit(0))).alias(name))
+    other = {c: f"{name}_{c}" for c in ["part", *group]}
+    offset = totals.withColumn("offset", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    offset = offset.select(F.col("offset").alias(f"{name}_offset"), *[F.col(c).alias(o) for c, o in other.items()])
+    on = F.lit(True)
+    for c, o in other.items():
+        on = on & F.col(c).eqNullSafe(F.col(o))
+    joined = local.join(offset, on, "left")
+    kept = [c for c in rows.columns if c != name]
+    return joined.select(*kept, (F.col(f"{name}_here") + F.coalesce(f"{name}_offset", F.lit(0))).alias(name))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .mixing import copies
 from .near_dedup import near_duplicates
+from .pieces import encode_documents
 from .quality_rules import quality_rules
 from .suffix_dedup import suffix_dedup
 
@@ -15,6 +18,44 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = copies(_table(spark, sf_dir, "documents"))
+    return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+#: The three weights, the share of all words, the cap and the seed are those of ``copies``.
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS DOUBLE) AS source_size,
+    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE 2.0 END AS weight
+  FROM d GROUP BY source
+), r AS (
+  SELECT *, 2.0 * source_size AS most, 1.5 * sum(source_size) OVER () AS budget,
+    coalesce(sum(2.0 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps,
+    sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+  FROM s WINDOW o AS (ORDER BY 2.0 * source_size / weight, source NULLS LAST)
+), l AS (
+  SELECT *, arg_min((budget - caps) / weights, caps) FILTER (WHERE most / weight > (budget - caps) / weights) OVER () AS level FROM r
+), t AS (
+  SELECT source, CAST(source_size AS BIGINT) AS source_size, least(most, coalesce(weight * level, most)) AS target FROM l
+), p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(coalesce(round(t.target / nullif(t.source_size, 0) * 16777216), 0) AS BIGINT) AS rate,
+    row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS LAST) AS place,
+    CAST('0x' || substr(md5('7:' || coalesce(d.source, '')), 1, 6) AS BIGINT) AS shift
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(((place * rate + shift) // 16777216 - ((place - 1) * rate + shift) // 16777216) * size AS BIGINT) AS taken FROM p
+"""
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs).drop("text")
@@ -31,10 +72,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_mixing": op4_mixing,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_quality_rules": op6_quality_rules,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": OP4_SQL}
