@@ -233,11 +233,12 @@ def _spell_out(threshold: int):
 def repeated_strings(rows: DataFrame, threshold: int = THRESHOLD, group: int = 4096) -> DataFrame:
     """(uid, spans: array of (at, n)): strings at at .. at + n - 1 start elsewhere too. ``rows`` has uid and text."""
     found = materialize(rows.mapInArrow(_find(threshold), "uid long, at int, n int, fp long, c long"), "anchors")
-    twice = found.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1").select("fp")
+    # what a join meets is written first: a join whose sides both are shuffled can split a hot key
+    twice = materialize(found.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1").select("fp"), "twice")
     alive = materialize(found.join(twice, "fp"), "alive")
     reaches = materialize(alive.groupBy("fp", "c").agg(F.count("*").alias("k"), F.min(F.struct("uid", "at", "n")).alias("one")), "reaches")
     settled = alive.join(reaches.where("k > 1").select("fp", "c"), ["fp", "c"]).select("uid", "at", "n")
-    mixed = reaches.groupBy("fp").agg(F.count("*").alias("m"), F.min("k").alias("least")).where("m > 1 and least = 1").select("fp", "m")
+    mixed = materialize(reaches.groupBy("fp").agg(F.count("*").alias("m"), F.min("k").alias("least")).where("m > 1 and least = 1").select("fp", "m"), "mixed")
     rest = reaches.join(mixed, "fp").select("one.*", "fp", "m")
     hot = rest.where(F.col("m") > group).select("fp").distinct()
     wanted = rest.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("at", "n", "fp"))).alias("wanted"))
