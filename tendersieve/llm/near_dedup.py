@@ -173,7 +173,8 @@ def near_duplicates(
     reps = signed.groupBy("k1", "k2").agg(F.min("uid").alias("rep"))
     one = signed.join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi")
     slots = materialize(one.select("uid", F.explode("bands").alias("band")), "slots")
-    shared = slots.groupBy("band").agg(F.min("uid").alias("pivot"), F.max("uid").alias("last")).where("pivot < last")
+    # what a join meets is written first: a join whose sides both are shuffled can split a hot key
+    shared = materialize(slots.groupBy("band").agg(F.min("uid").alias("pivot"), F.max("uid").alias("last")).where("pivot < last"), "shared")
     buckets = materialize(slots.join(shared.select("band", "pivot"), "band"), "buckets")
     first = buckets.where("uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct()
 
@@ -192,7 +193,7 @@ def near_duplicates(
         """The rows of buckets that hold more than one component."""
         where = among.join(label.select(F.col("node").alias("uid"), "label"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
         several = where.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
-        return where.join(several, "band")
+        return where.join(materialize(several, "several"), "band")
 
     rest = materialize(still_open(label, buckets.select("band", "uid")), "open")
     words = texts.join(rest.select("uid").distinct(), "uid", "left_semi").mapInArrow(_spell_out(width), "uid long, h long")
@@ -227,7 +228,7 @@ def near_duplicates(
     member = member.join(label.withColumnRenamed("node", "rep"), "rep", "left")
     member = materialize(member.select("uid", "id", F.coalesce("label", "rep").alias("class")), "members")
     kept = member.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("k"))
-    kept = kept.select("class", F.col("k.uid").alias("class_uid"), F.col("k.id").alias("class_id"))
+    kept = materialize(kept.select("class", F.col("k.uid").alias("class_uid"), F.col("k.id").alias("class_id")), "kept")
     return member.join(kept, "class").select("uid", "id", "class_uid", "class_id")
 
 
