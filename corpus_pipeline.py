@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tendersieve.llm.common import materialize
+from tendersieve.llm.mixing import mix
 from tendersieve.llm.near_dedup import keep_one
+from tendersieve.llm.pieces import encode_documents
 from tendersieve.llm.quality_rules import quality_rules
+from tendersieve.llm.suffix_dedup import suffix_dedup
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -21,7 +25,26 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality), ("minhash_near_dedup", near_dedup)]
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their repeated passages; n_chars follows."""
+    return suffix_dedup(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "source", "n_pieces", "ids_crc32", "decoded_ok", "ids")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality),
+    ("minhash_near_dedup", near_dedup),
+    ("suffix_array_dedup", passages),
+    ("mixing", mixing),
+    ("sentencepiece", encoding),
+]
 
 #: Suffix arrays and Poisson processes are beyond SQL; brute-force tests check the stages.
 ORACLE_SQL: str | None = None

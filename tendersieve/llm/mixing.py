@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import materialize
 from .prefix import running_sum
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -71,6 +72,7 @@ def copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
         F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"),
         word_count(F.col(f"`{text_col}`").cast("string")).alias("size"),
     )
+    rows = materialize(rows, "words")  # the texts are read once
     # the expected copies are the same for all documents of a source: their running sum is place * rate
     ranked = running_sum(rows, ["source"], ["size", "id", "uid"], F.lit(1), "place")
     goal = targets(ranked.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)

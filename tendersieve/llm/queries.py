@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .license_scan import license_scan
+from .license_scan import TEMPLATES, license_scan
 from .mixing import copies
 from .near_dedup import near_duplicates
 from .pieces import encode_documents
 from .quality_rules import quality_rules
+from .sharding import shard
 from .suffix_dedup import suffix_dedup
 from .url_filter import filter_urls
 
@@ -50,6 +51,13 @@ SELECT page_id, host, path, rule_host || rule_path AS rule, coalesce(verdict, 'a
 """
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard(_table(spark, sf_dir, "documents"), shards=16)
+    return placed.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = copies(_table(spark, sf_dir, "documents"))
     return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -102,6 +110,32 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+OP9_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS k, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), d AS (
+  SELECT k, doc_id, t, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM w
+), p(label, phrase) AS (
+  SELECT label, string_split(x, ' ') FROM (VALUES ('gpl', 'gnu general public license'), ('apache', 'apache license'), ('cc-by', 'cc by'), ('mit', 'mit license')) v(label, x)
+), i AS (SELECT k, ws, unnest(range(len(ws))) AS i FROM d), h AS (
+  SELECT k, i, label FROM i JOIN p ON ws[i + 1] = phrase[1] AND list_slice(ws, i + 1, i + len(phrase)) = phrase
+), b AS (
+  SELECT k, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list(DISTINCT label)) AS base FROM h GROUP BY k
+), t(label, own) AS (
+  SELECT label, list_distinct(string_split(x, ' ')) FROM (VALUES @TEMPLATES@) v(label, x)
+), l AS (
+  SELECT k, list_distinct(regexp_extract_all(u, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ws FROM (SELECT k, unnest(string_split(t, chr(10))) AS u FROM d)
+), m AS (
+  SELECT k, list(DISTINCT label) AS more, max(len(list_intersect(ws, own)) / len(own)) AS share
+  FROM l JOIN t ON len(ws) >= ceil(round(0.8 * len(own), 9)) AND len(list_intersect(ws, own)) >= ceil(round(0.8 * len(own), 9)) GROUP BY k
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ','), '') AS labels,
+  greatest(coalesce(share, 0.0::DOUBLE), CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS score
+FROM d LEFT JOIN b USING (k) LEFT JOIN m USING (k)
+""".replace("@TEMPLATES@", ", ".join(f"('{label}', '{text}')" for label, text in TEMPLATES))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select(F.col("id").alias("doc_id"), "class_id")
@@ -109,6 +143,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_sharding": op2_sharding,
     "op4_mixing": op4_mixing,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality_rules": op6_quality_rules,
@@ -118,4 +153,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_mixing": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_mixing": OP4_SQL, "op9_license_scan": OP9_SQL}
