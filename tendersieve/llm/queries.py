@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import scratch_dir
 from .license_scan import TEMPLATES, license_scan
 from .mixing import copies
 from .near_dedup import near_duplicates
@@ -14,6 +16,7 @@ from .pieces import encode_documents
 from .quality_rules import quality_rules
 from .sharding import shard
 from .suffix_dedup import suffix_dedup
+from .token_files import digests, read_parts, write_tokens
 from .url_filter import filter_urls
 
 
@@ -106,6 +109,12 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(docs, keep_text=False)
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return digests(read_parts(spark, folder)).withColumnRenamed("id", "doc_id")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -148,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality_rules": op6_quality_rules,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_token_files": op8_token_files,
     "op9_license_scan": op9_license_scan,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
