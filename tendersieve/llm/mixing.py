@@ -77,7 +77,7 @@ def copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     ranked = running_sum(rows, ["source"], ["size", "id", "uid"], F.lit(1), "place")
     goal = targets(ranked.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     joined = ranked.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rate = F.coalesce(F.round(F.col("target") / F.col("source_size") * UNIT), F.lit(0)).cast("long")
+    rate = F.coalesce(F.round(F.try_divide(F.col("target"), F.col("source_size")) * UNIT), F.lit(0)).cast("long")
     joined = joined.withColumn("rate", rate).withColumn("shift", offset(F.col("source"), seed))
     crossed = F.expr(f"(place * rate + shift) div {UNIT} - ((place - 1) * rate + shift) div {UNIT}")
     return joined.select("uid", "id", "size", "source", "source_size", F.col("target").cast("double").alias("target"), crossed.cast("long").alias("copies"))

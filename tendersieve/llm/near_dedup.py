@@ -211,7 +211,7 @@ def near_duplicates(
         return rows.join(side, "band").where((F.col("label") != F.col("label_b")) & may).select(*pair).distinct()
 
     def central(rows: DataFrame) -> DataFrame:
-        best = F.min(F.struct((1 - F.col("common") / F.col("n")).alias("own"), "uid", "label", "n", "common")).alias("c")
+        best = F.min(F.struct(F.coalesce(1 - F.try_divide("common", "n"), F.lit(0.0)).alias("own"), "uid", "label", "n", "common")).alias("c")
         return rows.groupBy("band").agg(best).select("band", *[F.col(f"c.{k}").alias(f"{k}_b") for k in ("uid", "label", "n", "common")])
 
     def everyone(rows: DataFrame) -> DataFrame:

@@ -290,11 +290,11 @@ class Pieces:
         return out
 
     def path(self, body: str, n: int, before: str, entry: list[float], exit_: int) -> tuple[int, list[int]]:
-        """The entry state and the ids of the best path to an exit state."""
+        """The entry state and the ids of the best path to an exit state; (0, []) if no path leads there."""
         first, last = self.cuts(body, n, before)
         if first < 0:
             best, back = self.lattice(body, n, entry[: len(body) + 1])
-            return self.trace(body, back, n + exit_)
+            return self.trace(body, back, n + exit_) if best[n + exit_] > NONE else (0, [])
         tail = body[last:]
         ids = self.trace(tail, self.lattice(tail, n - last, [0.0])[1], n - last + exit_)[1]
         middle = self.words(_UNITS.findall(body[first:last]))[1].tolist()
