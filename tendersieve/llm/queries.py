@@ -8,6 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .audio import align
 from .common import scratch_dir
 from .license_scan import TEMPLATES, license_scan
 from .mixing import copies
@@ -61,6 +62,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no sound: a text's UTF-8 bytes are read as the samples of an 8-bit recording."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("audio"))
+    return align(docs, sample="u1").drop("uid").withColumnRenamed("id", "doc_id")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = copies(_table(spark, sf_dir, "documents"))
     return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -153,6 +160,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_sharding": op2_sharding,
+    "op3_audio_fingerprints": op3_audio_fingerprints,
     "op4_mixing": op4_mixing,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality_rules": op6_quality_rules,
