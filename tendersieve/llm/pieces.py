@@ -35,18 +35,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, ranges
+from .common import materialize, ranges, slices
 
 MARK = "▁"
 #: Stands for a mark in the text itself; it cannot occur in valid UTF-8.
 OWN_MARK = "\udc81"
-CHUNK = 16384
+CHUNK = 65536
 BLOCK = 64
 UNKNOWN_PENALTY = 10.0
-WORDS = 1_000_000
-BITS = 22
-#: Words: no piece goes over their ends (none holds a line end).
-_UNITS = re.compile(f"{MARK}+[^{MARK}\\n]*|[^{MARK}\\n]+|\\n")
+#: So many words are remembered at most; then all are forgotten.
+WORDS = 200_000
+BITS, PLACES = 20, 3
 NONE = -np.inf
 
 
@@ -72,9 +71,7 @@ class Pieces:
         self.spelling_size = np.array([len(x) for x in self.spelling])
         self.spelling_start = np.cumsum(self.spelling_size) - self.spelling_size
         self.spelling_bytes = np.frombuffer(b"".join(self.spelling), np.uint8)
-        seed = 0x9E3779B97F4A7C15
-        while not self._hash(seed):
-            seed += 2
+        self.keys: np.ndarray | None = None
         self._forget()
 
     def mark(self, text: str) -> str:
@@ -128,7 +125,7 @@ class Pieces:
         self.word_ids = np.empty(0, np.int32)
 
     def _hash(self, seed: int) -> bool:
-        """Two-entry buckets of the hashes of all beginnings of pieces; false if a bucket would need three.
+        """Buckets (``PLACES`` each) of the hashes of all beginnings of pieces; false if a bucket would need more.
 
         Slot 0 stands for no beginning of any piece; a beginning that isn't a piece scores minus infinity.
         """
@@ -139,13 +136,13 @@ class Pieces:
             there = np.array([len(x) > k for x in names])
             h[there] = self._step(h[there], np.array([ord(x[k]) for x in names if len(x) > k], np.uint64))
         at = (h >> np.uint64(64 - BITS)).astype(np.int64)
-        self.keys = np.zeros((2, 1 << BITS), np.uint64)
-        self.slots = np.zeros((2, 1 << BITS), np.int32)
-        for i, (x, k) in enumerate(zip(at.tolist(), h.tolist(), strict=True), 1):
-            free = 0 if not self.keys[0, x] else 1
-            if self.keys[free, x]:
-                return False
-            self.keys[free, x], self.slots[free, x] = k, i
+        order = np.argsort(at, kind="stable")
+        place = np.arange(len(at)) - np.searchsorted(at[order], at[order])
+        if place.max() >= PLACES:
+            return False
+        self.keys = np.zeros((PLACES, 1 << BITS), np.uint64)
+        self.slots = np.zeros((PLACES, 1 << BITS), np.int32)
+        self.keys[place, at[order]], self.slots[place, at[order]] = h[order], order + 1
         found = [self.table.get(x, (NONE, -1)) for x in names]
         self.piece_score = np.array([NONE, *(v[0] for v in found)])
         self.piece_id = np.array([-1, *(v[1] for v in found)], np.int32)
@@ -169,7 +166,10 @@ class Pieces:
             for e in range(s + 1, min(size, s + self.longest) + 1):
                 h = self._step(h, chars[live, e - 1])
                 at = (h >> np.uint64(64 - BITS)).astype(np.int64)
-                slot = np.where(self.keys[0][at] == h, self.slots[0][at], np.where(self.keys[1][at] == h, self.slots[1][at], 0))
+                slot = np.zeros(len(at), np.int32)
+                for keys, slots in zip(self.keys, self.slots, strict=True):
+                    here = np.flatnonzero(keys[at] == h)
+                    slot[here] = slots[at[here]]
                 score = self.piece_score[slot] + best[s][live]
                 if e == s + 1:
                     score[score == NONE] = best[s][live[score == NONE]] + self.unknown
@@ -200,54 +200,88 @@ class Pieces:
         ids[ids < 0] = [i for x in spelt for i in x]
         return best[size], ids, np.bincount(np.repeat(owner, width), minlength=n)
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[bytes]) -> None:
+        """Best paths of ``words``, put behind those at hand in this order."""
         if not words:
             return
-        by_size: dict[int, list[str]] = {}
-        for w in words:
-            by_size.setdefault(len(w) if len(w) <= 48 else 0, []).append(w)
-        scores, sizes, flats = [self.word_score], [self.word_size], [self.word_ids]
-        for size, group in by_size.items():
-            for lo in range(0, len(group), 8192):
-                part = group[lo : lo + 8192]
+        seed = 0x9E3779B97F4A7C15
+        while self.keys is None and not self._hash(seed):
+            seed += 2
+        spelt = b"\0".join(words).decode("utf-8", "surrogatepass").replace(" ", MARK).split("\0")
+        if len(spelt) != len(words):  # a word holds the separator
+            spelt = [w.decode("utf-8", "surrogatepass").replace(" ", MARK) for w in words]
+        width = np.fromiter(map(len, spelt), np.int64, len(spelt))
+        width[width > 48] = 0
+        order = np.argsort(width, kind="stable")
+        score, count, flats = np.empty(len(words)), np.empty(len(words), np.int64), []
+        edges = np.flatnonzero(np.diff(width[order], prepend=-1)).tolist() + [len(words)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            size = int(width[order[lo]])
+            for at in range(lo, hi, 8192):
+                part = order[at : min(at + 8192, hi)]
+                own = [spelt[i] for i in part.tolist()]
                 if size:
-                    score, ids, count = self._paths_of(part, size)
+                    score[part], ids, count[part] = self._paths_of(own, size)
                 else:
-                    one = [self.lattice(w, len(w), [0.0]) for w in part]
-                    spelt = [self.trace(w, back, len(w))[1] for w, (_, back) in zip(part, one, strict=True)]
-                    score, ids = np.array([x[0][-1] for x in one]), np.array([i for x in spelt for i in x])
-                    count = np.array([len(x) for x in spelt])
-                self.known.update(zip(part, range(len(self.known), len(self.known) + len(part)), strict=True))
-                scores.append(score)
-                sizes.append(count)
+                    one = [self.lattice(w, len(w), [0.0]) for w in own]
+                    found = [self.trace(w, back, len(w))[1] for w, (_, back) in zip(own, one, strict=True)]
+                    score[part], count[part] = [x[0][-1] for x in one], [len(x) for x in found]
+                    ids = np.array([i for x in found for i in x], np.int32)
                 flats.append(ids.astype(np.int32))
-        self.word_score, self.word_size, self.word_ids = np.concatenate(scores), np.concatenate(sizes), np.concatenate(flats)
-        self.word_start = np.cumsum(self.word_size) - self.word_size
-
-    def words(self, units: list[str]) -> tuple[float, np.ndarray, np.ndarray]:
-        """(score of all, ids of all, number of ids of each)."""
-        new = {u: None for u in units if u not in self.known}
-        if len(self.known) + len(new) > WORDS:
+        start = np.empty(len(words), np.int64)
+        start[order] = np.cumsum(count[order]) - count[order]
+        self.word_start = np.concatenate((self.word_start, start + len(self.word_ids)))
+        self.word_score, self.word_size = np.concatenate((self.word_score, score)), np.concatenate((self.word_size, count))
+        self.word_ids = np.concatenate((self.word_ids, *flats))
+
+    def look_up(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(places of all words of ``texts`` among those at hand, number of words of each text).
+
+        ``texts`` have spaces for marks. A word is a run of marks and what follows, or a line end; no piece
+        goes over its ends (none holds a line end). Words that come once here are at hand until the next call
+        only; the others are remembered.
+        """
+        sizes = np.array([len(t) for t in texts], np.int64)
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        if not len(raw):
+            return np.empty(0, np.int64), np.zeros(len(texts), np.int64)
+        mark, line = raw == 32, raw == 10
+        begin = line.copy()
+        begin[1:] |= (mark[1:] & ~mark[:-1]) | line[:-1]
+        ends = np.cumsum(sizes)
+        begin[(ends - sizes)[sizes > 0]] = True
+        count = np.concatenate(([0], np.cumsum(begin)))
+        edges = np.append(np.flatnonzero(begin), len(raw)).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(raw)]).dictionary_encode()
+        codes, own = words.indices.to_numpy(), words.dictionary.to_pylist()
+        often = np.bincount(codes, minlength=len(own)) > 1
+        n, flat = len(self.known), int(self.word_size[: len(self.known)].sum())
+        self.word_score, self.word_start, self.word_size, self.word_ids = self.word_score[:n], self.word_start[:n], self.word_size[:n], self.word_ids[:flat]
+        get = self.known.get
+        at = np.array([get(w, -1) for w in own], np.int64)
+        new = np.flatnonzero((at < 0) & often)
+        if n + len(new) > WORDS:
             self._forget()
-            new = dict.fromkeys(units)
-        self.learn(list(new))
-        at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+            n, at = 0, np.full(len(own), -1)
+            new = np.flatnonzero(often)
+        self.learn(keep := [own[i] for i in new.tolist()])
+        at[new] = np.arange(n, n + len(new))
+        self.known.update(zip(keep, range(n, n + len(new)), strict=True))
+        once = np.flatnonzero(at < 0)
+        at[once] = np.arange(len(self.word_score), len(self.word_score) + len(once))
+        self.learn([own[i] for i in once.tolist()])
+        return at[codes], count[ends] - count[ends - sizes]
+
+    def encode_many(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each); texts in UTF-8."""
+        own, stand_in = MARK.encode(), OWN_MARK.encode("utf-8", "surrogatepass")
+        at, count = self.look_up([b" " + t.replace(own, stand_in) if t else b"" for t in texts])
         size = self.word_size[at]
-        return float(self.word_score[at].sum()), self.word_ids[ranges(self.word_start[at], size)], size
-
-    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each)."""
-        units: list[str] = []
-        ends = []
-        for t in texts:
-            units += _UNITS.findall(self.mark(t))
-            ends.append(len(units))
-        _, ids, size = self.words(units)
         total = np.concatenate(([0], np.cumsum(size)))
-        return ids, np.diff(np.concatenate(([0], total[np.array(ends, np.int64)])))
+        return self.word_ids[ranges(self.word_start[at], size)], np.diff(total[np.concatenate(([0], np.cumsum(count)))])
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_many([text])[0].tolist()
+        return self.encode_many([text.encode()])[0].tolist()
 
     def decode_many(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """The UTF-8 bytes of the texts of ``sizes`` ids each, without the mark put in front."""
@@ -261,6 +295,10 @@ class Pieces:
 
     # -- a chunk of a marked text: its n characters and up to longest - 1 behind them ----------
 
+    @staticmethod
+    def _spaced(body: str) -> bytes:
+        return body.replace(MARK, " ").encode("utf-8", "surrogatepass")
+
     def cuts(self, body: str, n: int, before: str) -> tuple[int, int]:
         """The first and last place in 0 .. n where all paths meet; (-1, -1) if there is none."""
         at = [m.start() for m in re.finditer(f"(?<=[^{MARK}]){MARK}", body[: n + 1])]
@@ -282,13 +320,26 @@ class Pieces:
             for i in range(min(k, len(body) + 1)):
                 out[i] = exits(body, n, [*[NONE] * i, 0.0])
             return out
-        middle = self.words(_UNITS.findall(body[first:last]))[0]
+        at = self.look_up([self._spaced(body[first:last])])[0]
+        middle = float(self.word_score[at].sum())
         tail = exits(body[last:], n - last, [0.0])
         for i in range(min(k, first + 1)):
             head = self.lattice(body[:first], first, [*[NONE] * i, 0.0])[0][first]
             out[i] = head + middle + np.array(tail)
         return out
 
+    def entries(self, body: str, n: int, before: str, entry: list[float]) -> list[int]:
+        """For each exit state the entry state of its best path (0 where there is none)."""
+        first, _ = self.cuts(body, n, before)
+        ends = min(self.longest, len(body) - n + 1)
+        if first < 0:
+            best, back = self.lattice(body, n, entry[: len(body) + 1])
+            found = [self.trace(body, back, n + j)[0] if best[n + j] > NONE else 0 for j in range(ends)]
+        else:
+            head = body[:first]
+            found = [self.trace(head, self.lattice(head, first, entry[: first + 1])[1], first)[0]] * ends
+        return found + [0] * (self.longest - ends)
+
     def path(self, body: str, n: int, before: str, entry: list[float], exit_: int) -> tuple[int, list[int]]:
         """The entry state and the ids of the best path to an exit state; (0, []) if no path leads there."""
         first, last = self.cuts(body, n, before)
@@ -297,7 +348,8 @@ class Pieces:
             return self.trace(body, back, n + exit_) if best[n + exit_] > NONE else (0, [])
         tail = body[last:]
         ids = self.trace(tail, self.lattice(tail, n - last, [0.0])[1], n - last + exit_)[1]
-        middle = self.words(_UNITS.findall(body[first:last]))[1].tolist()
+        at = self.look_up([self._spaced(body[first:last])])[0]
+        middle = self.word_ids[ranges(self.word_start[at], self.word_size[at])].tolist()
         head = body[:first]
         state, ahead = self.trace(head, self.lattice(head, first, entry[: first + 1])[1], first)
         return state, ahead + middle + ids
@@ -325,9 +377,8 @@ def _whole(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = load(path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                yield pa.RecordBatch.from_arrays([part.column("uid"), _ragged(*p.encode_many(part.column("text").to_pylist()))], names=["uid", "ids"])
+            for first, part in slices(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([batch.column("uid").slice(first, len(part)), _ragged(*p.encode_many(part))], names=["uid", "ids"])
 
     return run
 
@@ -374,10 +425,7 @@ def _maps(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = load(path)
         for batch in batches:
-            out = []
-            for r in _rows(batch):
-                ends = min(p.longest, len(r["body"]) - r["n"] + 1)
-                out.append([p.path(r["body"], r["n"], r["before"], r["v"], j)[0] for j in range(ends)] + [0] * (p.longest - ends))
+            out = [p.entries(r["body"], r["n"], r["before"], r["v"]) for r in _rows(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("c"), pa.array(out, pa.list_(pa.int32()))], names=["uid", "c", "f"])
 
     return run
@@ -439,8 +487,13 @@ def encode(rows: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     rows = rows.select("uid", F.coalesce("text", F.lit("")).alias("text"))
     size = F.char_length("text")
     short = rows.where(size <= chunk).mapInArrow(_whole(path), "uid long, ids array<int>")
+    return short.unionByName(encode_chunks(rows.where(size > chunk), path, chunk))
+
+
+def encode_chunks(rows: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
+    """``encode`` for texts longer than ``chunk``: no task holds more of a text's lattice than a chunk."""
     body = "uid long, c int, n int, before binary, body binary"
-    chunks = materialize(rows.where(size > chunk).mapInArrow(_chunks(path, chunk), body).repartition("uid", "c"), "chunks")
+    chunks = materialize(rows.mapInArrow(_chunks(path, chunk), body).repartition("uid", "c"), "chunks")
     block = F.floor(F.col("c") / BLOCK).cast("int").alias("block")
     m = materialize(chunks.mapInArrow(_matrices(path), "uid long, c int, m array<double>").select("*", block), "matrices")
     blocks = m.groupBy("uid", "block").applyInPandas(_block_product, "uid long, c int, m array<double>")
@@ -454,7 +507,7 @@ def encode(rows: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     exits = f.join(ends, ["uid", "block"]).groupBy("uid", "block").applyInPandas(_exits, "uid long, c int, exit int")
     ids = known.join(exits, ["uid", "c"]).mapInArrow(_paths(path), "uid long, c int, ids array<int>")
     parts = F.sort_array(F.collect_list(F.struct("c", "ids")))
-    return short.unionByName(ids.groupBy("uid").agg(F.flatten(parts["ids"]).alias("ids")))
+    return ids.groupBy("uid").agg(F.flatten(parts["ids"]).alias("ids"))
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -487,21 +540,32 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", *, chunk: i
     names = ["ids", "n_pieces", "ids_crc32", "decoded_ok"]
     rest = [c for c in docs.columns if c not in names]
     numbered = docs.select(F.monotonically_increasing_id().alias("__uid"), *[F.col(f"`{c}`") for c in rest])
-    coded = encode(numbered.select(F.col("__uid").alias("uid"), F.col(f"`{text}`").alias("text")), path, chunk)
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(p: Pieces, part: pa.RecordBatch, texts: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        ends = np.cumsum(sizes).tolist()
+        raw = flat.astype("<u4").tobytes()
+        crc = [zlib.crc32(raw[4 * (z - n) : 4 * z]) for z, n in zip(ends, sizes.tolist(), strict=True)]
+        ok = [x == t for x, t in zip(p.decode_many(flat, sizes), texts, strict=True)]
+        found = [_ragged(flat.astype(np.int32), sizes), pa.array(sizes, pa.int32()), pa.array(crc, pa.int64()), pa.array(ok)]
+        return pa.RecordBatch.from_arrays([*(part.column(n) for n in rest), *found], names=[*rest, *names])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = load(path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                flat, sizes = pc.list_flatten(part.column("ids")).to_numpy(), pc.list_value_length(part.column("ids")).to_numpy()
-                ends = np.cumsum(sizes).tolist()
-                raw = flat.astype("<u4").tobytes()
-                crc = [zlib.crc32(raw[4 * (z - n) : 4 * z]) for z, n in zip(ends, sizes.tolist(), strict=True)]
-                back = p.decode_many(flat, sizes)
-                ok = [x == (t.as_py() or b"") for x, t in zip(back, part.column(text).cast(pa.binary()), strict=True)]
-                columns = [part.column(n) for n in rest]
-                yield pa.RecordBatch.from_arrays([*columns, part.column("ids"), pc.list_value_length(part.column("ids")), pa.array(crc, pa.int64()), pa.array(ok)], names=[*rest, *names])
+            for first, part in slices(batch.column(text)):
+                yield rows(p, batch.slice(first, len(part)), part, *p.encode_many(part))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = load(path)
+        for batch in batches:
+            for first, part in slices(batch.column(text)):
+                own = batch.slice(first, len(part))
+                flat, sizes = pc.list_flatten(own.column("ids")).to_numpy(), pc.list_value_length(own.column("ids")).to_numpy()
+                yield rows(p, own, part, flat, sizes)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.drop("__uid").schema.fields), RESULT])
-    return numbered.join(coded.withColumnRenamed("uid", "__uid"), "__uid").drop("__uid").mapInArrow(run, schema)
+    short = numbered.where(F.char_length(body) <= chunk).drop("__uid").mapInArrow(whole, schema)
+    giant = numbered.where(F.char_length(body) > chunk)
+    coded = encode_chunks(giant.select(F.col("__uid").alias("uid"), F.col(f"`{text}`").alias("text")), path, chunk)
+    return short.unionByName(giant.join(coded.withColumnRenamed("uid", "__uid"), "__uid").drop("__uid").mapInArrow(joined, schema))
