@@ -31,7 +31,7 @@ def treemap(tenders: DataFrame, n: int) -> DataFrame:
 def lead_times(tenders: DataFrame, awards: DataFrame, key: str) -> DataFrame:
     """Whole days from publication to the best award of a tender, as percentiles a group; earlier awards don't count."""
     best = awards.groupBy("tender_id").agg(F.max_by("awarded_on", F.struct("awarded", "awarded_on")).alias("on"))
-    days = F.floor((F.unix_seconds("on") - F.unix_seconds("published")) / 86400)
+    days = F.floor((F.unix_seconds(c("on").cast("timestamp")) - F.unix_seconds(c("published").cast("timestamp"))) / 86400)
     rows = tenders.join(best, c("id") == c("tender_id")).withColumn("days", days.cast("double")).where("days >= 0")
     p = F.percentile("days", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     return rows.groupBy(key).agg(F.count("*").alias("n"), p.alias("p")).select(key, "n", c("p")[0].alias("p25"), c("p")[1].alias("p50"), c("p")[2].alias("p75"))
@@ -52,7 +52,7 @@ def failure_rates(tenders: DataFrame, failed: str) -> DataFrame:
 
 def by_source(tenders: DataFrame, key: str, sources: list[str]) -> DataFrame:
     """One row a key with the number of tenders of each kind side by side."""
-    return tenders.groupBy(key).pivot("kind", sources).agg(F.count("*")).select(key, *[F.coalesce(F.col(f"`{s}`"), F.lit(0)).alias(f"n{i}") for i, s in enumerate(sources)])
+    return tenders.groupBy(key).pivot("kind", sources).agg(F.count(F.lit(1))).select(key, *[F.coalesce(F.col(f"`{s}`"), F.lit(0)).alias(f"n{i}") for i, s in enumerate(sources)])
 
 
 def first_in_region(awards: DataFrame, since: str) -> DataFrame:

@@ -88,7 +88,7 @@ def partner_pairs(awards: DataFrame, least: int) -> DataFrame:
     """Unordered pairs of companies with awards in the same tender: the members of one tender are few (its lots)."""
     member = awards.groupBy("tender_id", "company_id").agg(F.sum("awarded").alias("w"))
     a, b = member.select("tender_id", c("company_id").alias("a"), c("w").alias("wa")), member.select("tender_id", c("company_id").alias("b"), c("w").alias("wb"))
-    return a.join(b, "tender_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.sum(c("wa") + c("wb")), 2).alias("amount")).where(c("n") >= least)
+    return a.join(b, "tender_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.sum(c("wa") + c("wb")), 4).alias("amount")).where(c("n") >= least)
 
 
 def same_day_winners(awards: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ c = F.col
 
 
 def cents(column: Column) -> Column:
-    """Sum of money to the cent: the order of additions no longer shows."""
-    return F.round(F.sum(column), 2)
+    """Sum of money to a hundredth of a cent: the order of additions no longer shows."""
+    return F.round(F.sum(column), 4)
 
 
 def count_if(condition: Column) -> Column:

@@ -35,7 +35,7 @@ def awards(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = table(spark, sf_dir, "lineitem")
     return item.join(part, item.l_partkey == part.p_partkey).join(supplier, item.l_suppkey == supplier.s_suppkey).select(
         F.col("l_orderkey").alias("tender_id"), F.col("l_linenumber").alias("lot"), F.col("l_suppkey").alias("company_id"), F.col("s_name").alias("company"),
-        F.col("l_extendedprice").alias("budget"), F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).alias("awarded"),
+        F.col("l_extendedprice").alias("budget"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("awarded"),
         F.col("l_quantity").cast("int").alias("bids"), F.col("l_shipdate").alias("awarded_on"), F.col("l_partkey").alias("part_id"),
         F.col("p_type").alias("cpv"), F.col("p_brand").alias("brand"),
     )
@@ -49,7 +49,7 @@ TENDERS_SQL = """t AS (
 )"""
 AWARDS_SQL = """a AS (
   SELECT l_orderkey AS tender_id, l_linenumber AS lot, l_suppkey AS company_id, s_name AS company, l_extendedprice AS budget,
-    round(l_extendedprice * (1 - l_discount), 2) AS awarded, CAST(l_quantity AS INT) AS bids, l_shipdate AS awarded_on, l_partkey AS part_id,
+    l_extendedprice * (1 - l_discount) AS awarded, CAST(l_quantity AS INT) AS bids, l_shipdate AS awarded_on, l_partkey AS part_id,
     p_type AS cpv, p_brand AS brand
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
 )"""
