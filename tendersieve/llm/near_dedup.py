@@ -14,8 +14,11 @@
    one of these texts only belongs to no overlap: with n shingles, u of them its own, a text
    shares at most n - u with any other, which bounds the similarity of a pair. Where the bound
    is too low for every partner, the text leaves. The others are paired with their bucket's
-   most central text (least share of own shingles), and after that, across components only,
-   where the bound allows a link. Edits make shingles of one's own, so what is left is few.
+   most central text (least share of own shingles); then, of every shingle that stands in
+   several components, with the least text that has it. After that a shingle that stands in
+   one component only is of no overlap with another one either: the bound of a text counts
+   these as its own. What the bound still allows across components is compared; edits make
+   shingles of a component's own, so that is few.
 
 Defined cases: null is the empty text; a text of fewer than five words has one shingle, all
 its words; texts without a word are similar only to each other; repeated rows and equal
@@ -191,7 +194,7 @@ def near_duplicates(
 
     def still_open(label: DataFrame, among: DataFrame) -> DataFrame:
         """The rows of buckets that hold more than one component."""
-        where = among.join(label.select(F.col("node").alias("uid"), "label"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+        where = among.drop("label").join(label.select(F.col("node").alias("uid"), "label"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
         several = where.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
         return where.join(materialize(several, "several"), "band")
 
@@ -204,9 +207,9 @@ def near_duplicates(
     may = F.least("common", "common_b") >= F.lit(similarity) * (F.col("n") + F.col("n_b") - F.least("common", "common_b"))
     pair = [F.least("uid", "uid_b").alias("a"), F.greatest("uid", "uid_b").alias("b")]
 
-    def across(label: DataFrame, other) -> DataFrame:
+    def across(label: DataFrame, among: DataFrame, other) -> DataFrame:
         """Pairs of texts of one bucket and different components whose bound allows a link, with what ``other`` picks."""
-        rows = still_open(label, rest)
+        rows = still_open(label, among)
         side = other(rows)
         return rows.join(side, "band").where((F.col("label") != F.col("label_b")) & may).select(*pair).distinct()
 
@@ -217,12 +220,36 @@ def near_duplicates(
     def everyone(rows: DataFrame) -> DataFrame:
         return rows.select("band", *[F.col(k).alias(f"{k}_b") for k in ("uid", "label", "n", "common")])
 
-    tested = first
-    for other in (central, everyone):
-        again = materialize(across(label, other).join(tested, ["a", "b"], "left_anti"), "again")
+    def proven(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links and components with those of new pairs."""
+        nonlocal tested
+        again = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "again")
         tested = tested.unionByName(again)
-        links = materialize(links.unionByName(verified(again)), "links")
-        label = materialize(connected_components(links), "labels")
+        more = materialize(links.unionByName(verified(again)), "links")
+        return more, materialize(connected_components(more), "labels")
+
+    tested = first
+    links, label = proven(across(label, rest, central))
+    # what is still open is spelt out once, with components for texts in the bounds
+    left = materialize(still_open(label, rest), "left")
+    spelt = materialize(texts.join(left.select("uid").distinct(), "uid", "left_semi").mapInArrow(_spell_out(width), "uid long, h long"), "spelt")
+
+    def holders(label: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The words' rows with components, and for each shingle the least and greatest component and the least text."""
+        named = spelt.join(label.select(F.col("node").alias("uid"), "label"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+        named = materialize(named, "named")
+        return named, materialize(named.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct("uid", "label")).alias("p")), "holders")
+
+    named, held = holders(label)
+    met = named.join(held.where("x < y").select("h", F.col("p.uid").alias("uid_b"), F.col("p.label").alias("label_b")), "h").where("label <> label_b").select(*pair).distinct()
+    sizes = left.select("uid", "n", "common").distinct()
+    met = met.join(sizes.select(F.col("uid").alias("a"), "n", "common"), "a").join(sizes.select(F.col("uid").alias("b"), F.col("n").alias("n_b"), F.col("common").alias("common_b")), "b").where(may).select("a", "b")
+    links, label = proven(met)
+    named, held = holders(label)
+    own = named.join(held.where("x = y").select("h"), "h").groupBy("uid").agg(F.count("*").alias("own"))
+    left = left.drop("label", "common").join(own, "uid", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    left = materialize(left.where(F.col("common") >= similarity * F.col("n")), "left")
+    links, label = proven(across(label, left, everyone))
 
     member = rows.select("uid", "id", "k1", "k2").join(reps, ["k1", "k2"])
     member = member.join(label.withColumnRenamed("node", "rep"), "rep", "left")
