@@ -58,8 +58,8 @@ def bands(points: DataFrame, least_precision: float, most_lost: float) -> DataFr
 
 def anomalies(rows: DataFrame, key: str, value: str, sigma: float, least: int) -> DataFrame:
     """Rows above their group's mean plus sigma deviations (population), of groups with enough rows and spread."""
-    stats = rows.where(c(value).isNotNull()).groupBy(key).agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"), F.count("*").alias("k")).where((c("k") >= least) & (c("s") > 0))
-    return rows.join(stats, key).where(c(value) > c("m") + sigma * c("s")).select("id", key, value)
+    stats = rows.where(c(value).isNotNull()).groupBy(key).agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__spread"), F.count("*").alias("__n")).where((c("__n") >= least) & (c("__spread") > 0))
+    return rows.join(stats, key).where(c(value) > c("__mean") + sigma * c("__spread")).select("id", key, value)
 
 
 def spike(rows: DataFrame, at: str, day: str, factor: float) -> DataFrame:
