@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tendersieve.functions import scalars as S
 from tendersieve.operators import bodies, evaluation, graph, labels, market, overview, relational, text, trends
@@ -506,8 +506,6 @@ def _(s, d):
 @query("variation_by_year", """WITH y AS (SELECT year(published) AS y, region, count(*) AS n FROM @t GROUP BY 1, 2), z AS (SELECT *, lag(n, 1, 0) OVER (PARTITION BY region ORDER BY y) AS p FROM y)
   SELECT CAST(y AS INT) AS year, region, n, CASE WHEN n = 0 AND p = 0 THEN 0.0::DOUBLE WHEN p <> 0 THEN round((n - p) / p * 100, 1) END AS change FROM z""")
 def _(s, d):
-    from pyspark.sql import Window
-
     yearly = tenders(s, d).groupBy(F.year("published").alias("year"), "region").agg(F.count("*").alias("n"))
     before = F.lag("n", 1, 0).over(Window.partitionBy("region").orderBy("year"))
     return yearly.withColumn("p", before).select("year", "region", "n", S.variation(c("n"), c("p")).alias("change"))
@@ -613,12 +611,13 @@ def _(s, d):
     return evaluation.psi(rows.where(F.year("published") == 1995), rows.where(F.year("published") == 1996), "amount", CUTS)
 
 
-_P, _Y = c("l_discount") * 8, (c("l_returnflag") == "R").cast("int")
+def _truth() -> Column:
+    return (c("l_returnflag") == "R").cast("int")
 
 
 @query("ece", "WITH b AS (SELECT least(floor(l_discount * 8 * 10), 9) AS bin, l_discount * 8 AS p, (l_returnflag = 'R')::INT AS y FROM lineitem), g AS (SELECT bin, count(*) AS n, avg(p) AS p, avg(y) AS y FROM b GROUP BY 1) SELECT round(sum(n * abs(p - y)) / sum(n), 6) AS ece, CAST(sum(n) AS BIGINT) AS n FROM g")
 def _(s, d):
-    return evaluation.calibration_error(table(s, d, "lineitem"), _P, _Y)
+    return evaluation.calibration_error(table(s, d, "lineitem"), c("l_discount") * 8, _truth())
 
 
 POINTS = """g AS (SELECT l_quantity AS score, CAST(sum((l_returnflag = 'R')::INT) AS BIGINT) AS k, count(*) AS m FROM lineitem GROUP BY 1),
@@ -626,7 +625,7 @@ POINTS = """g AS (SELECT l_quantity AS score, CAST(sum((l_returnflag = 'R')::INT
 
 
 def _points(s: SparkSession, d: str) -> DataFrame:
-    return evaluation.thresholds(table(s, d, "lineitem"), c("l_quantity"), _Y)
+    return evaluation.thresholds(table(s, d, "lineitem"), c("l_quantity"), _truth())
 
 
 @query("average_precision", f"WITH {POINTS} SELECT round(sum(k / positives * tp / n), 6) AS average_precision FROM pt")
