@@ -14,13 +14,14 @@ def running_sum(rows: DataFrame, group: list[str], order: list[str], amount: Col
     sums its own rows; what earlier partitions hold of the group is added afterwards, from one row a
     partition and group. Rows that tie in ``order`` need equal amounts or a tiebreak in ``order``.
     """
+    part = f"{name}_part"
     keys = [F.col(c).asc_nulls_last() for c in [*group, *order]]
-    dealt = rows.withColumn(f"{name}_amount", amount.cast("long")).repartitionByRange(*keys).withColumn("part", F.spark_partition_id())
-    inside = Window.partitionBy("part", *group).orderBy(*[F.col(c).asc_nulls_last() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    dealt = rows.withColumn(f"{name}_amount", amount.cast("long")).repartitionByRange(*keys).withColumn(part, F.spark_partition_id())
+    inside = Window.partitionBy(part, *group).orderBy(*[F.col(c).asc_nulls_last() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
     local = materialize(dealt.withColumn(f"{name}_here", F.sum(f"{name}_amount").over(inside)), "running")
-    totals = local.groupBy("part", *group).agg(F.sum(f"{name}_amount").alias("total"))
-    before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    other = {c: f"{name}_{c}" for c in ["part", *group]}
+    totals = local.groupBy(part, *group).agg(F.sum(f"{name}_amount").alias("total"))
+    before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    other = {c: f"{name}_{c}" for c in [part, *group]}
     offset = totals.withColumn("offset", F.coalesce(F.sum("total").over(before), F.lit(0)))
     offset = offset.select(F.col("offset").alias(f"{name}_offset"), *[F.col(c).alias(o) for c, o in other.items()])
     on = F.lit(True)

@@ -42,3 +42,23 @@ def test_files(spark, tmp_path):
 def test_no_documents(spark, tmp_path):
     write_tokens(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "e"), PATH)
     assert digests(read_parts(spark, str(tmp_path / "e"))).count() == 0
+
+
+def test_documents_of_several_parts_are_all_read(spark, tmp_path):
+    t = Tokenizer.from_file(PATH)
+    texts = [f"{i} words " * (1 + i % 40) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    folder = str(tmp_path / "f")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_tokens(docs, folder, PATH, block=64, lanes=3)
+        got = sorted(map(tuple, digests(read_parts(spark, folder)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(f"{folder}/blocks").select("part").distinct().count() >= 3
+    start, want = 0, []
+    for i, x in enumerate(texts):
+        ids = t.encode(x, add_special_tokens=False).ids + [2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert got == want
