@@ -6,8 +6,11 @@ leaves are split at a level at once: the widest dimension of each (its range aga
 table's), cut where half of the leaf's weight lies below. A cut is searched by halving ranges with
 histograms of ``BINS`` bins a leaf, which the driver reads (leaves x BINS rows, whatever the input);
 points of equal value at the cut are told apart by a hash, so that ties don't spoil the balance.
+The point at a cut goes to the side that leaves the lesser error, and never leaves a side empty.
+With ``shards``, a point as heavy as an even share of what is left gets a shard of its own first, and
+the sides of a cut hold shards in proportion to their weight.
 Splitting goes on until ``shards`` leaves are reached, or, with ``target_bytes``, until every leaf
-has at most so many.
+has at most so many or is one point.
 
 Defined cases: null is the empty text (size 1: every row counts its bytes plus 1); null metadata
 lie below all other values; an empty table gives an empty result, a table with fewer texts than
@@ -41,15 +44,15 @@ def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
-def _search(points: DataFrame, key: str, goals: dict[int, float], close: float) -> dict[int, tuple[int, float]]:
-    """For each leaf the greatest value v of ``key`` with less than ``goal`` weight below it, and that weight.
+def _search(points: DataFrame, key: str, goals: dict[int, float], close: dict[int, float]) -> dict[int, tuple[int, int, int, int]]:
+    """For each leaf the range of ``key`` at which the weight from below reaches ``goal``: (first, last, weight below it, its weight).
 
-    Ranges shrink to one bin a round. Where a bin's weight is within ``close`` of nothing, its lower end will do.
+    Ranges shrink to one bin a round, until they are one value or weigh at most ``close``.
     """
     spark = points.sparkSession
     ends = points.where(F.col("leaf").isin(list(goals))).groupBy("leaf").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()
-    span = {r["leaf"]: (r["lo"], r["hi"], 0.0) for r in ends}  # low, high, weight below low
-    done: dict[int, tuple[int, float]] = {}
+    span = {r["leaf"]: (r["lo"], r["hi"], 0) for r in ends}  # low, high, weight below low
+    done: dict[int, tuple[int, int, int, int]] = {}
     while span:
         step = {k: max(1, -(-(hi - lo + 1) // BINS)) for k, (lo, hi, _) in span.items()}
         bounds = _small(spark, [(k, lo, hi, step[k]) for k, (lo, hi, _) in span.items()], "leaf int, lo long, hi long, step long")
@@ -65,50 +68,87 @@ def _search(points: DataFrame, key: str, goals: dict[int, float], close: float)
                     break
                 below += by[k][b]
             at = lo + b * step[k]
-            if step[k] == 1 or by[k][b] <= close:
-                done[k] = (at, below)
+            last = min(hi, at + step[k] - 1)
+            if step[k] == 1 or by[k][b] <= close[k]:
+                done[k] = (at, last, below, by[k][b])
             else:
-                left[k] = (at, min(hi, at + step[k] - 1), below)
+                left[k] = (at, last, below)
         span = left
     return done
 
 
+def _alone(points: DataFrame, shards: int) -> list[tuple[int, int]]:
+    """(k1, k2) of the points that weigh as much as what the lighter ones leave for a shard: each fills one."""
+    total, out = points.agg(F.sum("weight").alias("w")).first()["w"], []
+    for r in points.orderBy(F.desc("weight"), "k1", "k2").select("k1", "k2", "weight").limit(shards).collect():
+        if r["weight"] * (shards - len(out)) < total:
+            break
+        out.append((r["k1"], r["k2"]))
+        total -= r["weight"]
+    return out
+
+
 def split(points: DataFrame, dims: list[str], shards: int | None, target_bytes: int | None) -> DataFrame:
     """``points`` (k1, k2, weight, h and the dims) with ``leaf``."""
     points = points.withColumn("leaf", F.lit(0))
-    whole = points.agg(F.sum("weight").alias("w"), *[F.min(d).alias(f"lo_{d}") for d in dims], *[F.max(d).alias(f"hi_{d}") for d in dims]).first()
+    whole = points.agg(F.sum("weight").alias("w"), F.count("*").alias("n"), *[F.min(d).alias(f"lo_{d}") for d in dims], *[F.max(d).alias(f"hi_{d}") for d in dims]).first()
     if not whole["w"]:
         return points
+    alone = _alone(points, shards) if shards else []
+    if alone:
+        own = _small(points.sparkSession, [(k1, k2, i) for i, (k1, k2) in enumerate(alone)], "k1 long, k2 long, own int")
+        points = materialize(points.join(own, ["k1", "k2"], "left").withColumn("leaf", F.coalesce("own", F.lit(len(alone)))).drop("own"), "leaves")
+        if whole["n"] == len(alone):
+            return points
     # leaf -> how many shards it still holds (or None: split while too heavy)
-    open_: dict[int, int | None] = {0: shards}
-    number, close = 1, CLOSE * whole["w"] / (shards or max(1, whole["w"] // target_bytes))
-    while open_:
+    open_: dict[int, int | None] = {len(alone): shards - len(alone) if shards else None}
+    parted: list[tuple[int, int, int]] = []  # (old leaf, new leaf, shards of both)
+    number = len(alone) + 1
+    while True:
         stats = points.where(F.col("leaf").isin(list(open_))).groupBy("leaf").agg(F.sum("weight").alias("w"), F.count("*").alias("n"), *[F.min(d).alias(f"lo_{d}") for d in dims], *[F.max(d).alias(f"hi_{d}") for d in dims]).collect()
-        cut: dict[int, tuple[str, float, float, float]] = {}
+        of = {r["leaf"]: r for r in stats}
+        # shards go by the weight that a side really got, at most one a point
+        for k, new, held in parted:
+            a, b = of[k], of[new]
+            share = round(held * a["w"] / (a["w"] + b["w"]))
+            open_[k] = min(max(share, 1, held - b["n"]), held - 1, a["n"])
+            open_[new] = held - open_[k]
+        cut: dict[int, tuple[str, float, int]] = {}
         for r in stats:
             held = open_[r["leaf"]]
             if r["n"] > 1 and (held > 1 if held else r["w"] > target_bytes):
                 width = {d: (r[f"hi_{d}"] - r[f"lo_{d}"]) / max(1, whole[f"hi_{d}"] - whole[f"lo_{d}"]) for d in dims}
                 half = (held // 2) / held if held else 0.5
-                cut[r["leaf"]] = (max(dims, key=lambda d: (width[d], d)), half * r["w"], r["w"], half)
+                cut[r["leaf"]] = (max(dims, key=lambda d: (width[d], d)), half * r["w"], r["w"])
         if not cut:
             break
+        close = {k: CLOSE * w / (open_[k] or max(1, w // target_bytes)) for k, (_, _, w) in cut.items()}
         spark = points.sparkSession
-        axis = _small(spark, [(k, d) for k, (d, _, _, _) in cut.items()], "leaf int, axis string")
+        axis = _small(spark, [(k, d) for k, (d, _, _) in cut.items()], "leaf int, axis string")
         value = F.coalesce(*[F.when(F.col("axis") == d, F.col(d)) for d in dims])
         keyed = points.join(axis, "leaf").select("leaf", "weight", "h", value.alias("v"))
-        found = _search(keyed, "v", {k: goal for k, (_, goal, _, _) in cut.items()}, close)
-        ties = keyed.join(_small(spark, [(k, v) for k, (v, _) in found.items()], "leaf int, at long"), "leaf").where("v = at").select("leaf", "weight", "h")
-        tied = _search(ties, "h", {k: max(1e-9, cut[k][1] - below) for k, (_, below) in found.items()}, close)
-        rows, then = [], {}
-        for k, (d, _, _, _) in cut.items():
-            held = open_[k]
+        found = _search(keyed, "v", {k: goal for k, (_, goal, _) in cut.items()}, close)
+        ties = keyed.join(_small(spark, [(k, at, last) for k, (at, last, _, _) in found.items()], "leaf int, at long, last long"), "leaf").where("v between at and last").select("leaf", "weight", "h")
+        tied = _search(ties, "h", {k: cut[k][1] - below for k, (_, _, below, _) in found.items()}, close)
+        rows, then, parted = [], {}, []
+        for k, (d, goal, weight) in cut.items():
+            at, last, below, _ = found[k]
+            tie, tie_last, tie_below, tie_weight = tied[k]
+            # the point at the cut goes where the error is less, but never leaves a side empty
+            without, with_ = below + tie_below, below + tie_below + tie_weight
+            sides = [(abs(w - goal), w, h) for w, h in ((without, tie - 1), (with_, tie_last)) if 0 < w < weight]
+            if not sides:  # points of one hash
+                continue
             new, number = number, number + 1
-            rows.append((k, d, found[k][0], tied[k][0], new))
-            then[k], then[new] = (held // 2, held - held // 2) if held else (None, None)
-        moves = _small(spark, rows, "leaf int, axis string, at long, tie long, new int")
-        beyond = (value > F.col("at")) | ((value == F.col("at")) & (F.col("h") >= F.col("tie")))
-        points = points.join(moves, "leaf", "left").withColumn("leaf", F.when(beyond, F.col("new")).otherwise(F.col("leaf"))).drop("axis", "at", "tie", "new")
+            rows.append((k, d, at, last, min(sides)[2], new))
+            then[k] = then[new] = None
+            if open_[k]:
+                parted.append((k, new, open_[k]))
+        if not rows:
+            break
+        moves = _small(spark, rows, "leaf int, axis string, at long, last long, tie long, new int")
+        beyond = (value > F.col("last")) | ((value >= F.col("at")) & (F.col("h") > F.col("tie")))
+        points = points.join(moves, "leaf", "left").withColumn("leaf", F.when(beyond, F.col("new")).otherwise(F.col("leaf"))).drop("axis", "at", "last", "tie", "new")
         points = materialize(points, "leaves")
         open_ = then
     return points

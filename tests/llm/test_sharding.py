@@ -39,3 +39,20 @@ def test_target_bytes_and_few_rows(spark):
     assert max(total.values()) <= 1000 and len(total) == 8
     assert shard(docs.limit(0)).count() == 0
     assert [(r.id, r.shard, r.slot, r.size) for r in shard(docs.limit(1)).collect()] == [(0, 0, 0, 100)]
+
+
+def test_group_of_a_third_of_all_bytes_and_least_id(spark):
+    rows = [(i, "c" * 99) for i in range(200)] + [(i, f"{i:099}") for i in range(200, 600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in ({"shards": 16}, {"shards": None, "target_bytes": 3000}):
+        total, copies = {}, set()
+        for r in shard(docs, **how).collect():
+            total[r.shard] = total.get(r.shard, 0) + r.size
+            copies |= {r.shard} if r.id < 200 else set()
+        (heavy,) = copies
+        assert sum(total.values()) == 60000
+        rest = [w for k, w in total.items() if k != heavy]
+        if "target_bytes" in how:
+            assert max(rest) <= 3000 and total[heavy] <= 20000 + 3000
+        else:
+            assert set(total) == set(range(16)) and total[heavy] == 20000 and max(rest) - min(rest) <= 200
