@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tendersieve.functions.scalars import cosine, fold, words
+from tendersieve.functions.scalars import fold, words
+from tendersieve.sources.files import cut
 
 c = F.col
 
@@ -56,10 +61,63 @@ def ranked(rows: DataFrame, order: list[Column], key: str, n: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select(key, "rank")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """The n vectors of greatest cosine to each of a few query vectors (given as at most some dozens of rows)."""
-    pairs = vectors.join(F.broadcast(queries.select(c("vec_id").alias("query_id"), c("embedding").alias("q"))), c("vec_id") != c("query_id"))
-    scored = pairs.select("query_id", "vec_id", F.round(cosine(c("embedding"), c("q")), 6).alias("cosine"))
+def _pack(block: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, block):
+                part = batch.slice(lo, block)
+                rows = [np.array(v if v is not None else [], float) for v in part.column("embedding").to_pylist()]
+                size = np.array([len(v) for v in rows], np.int64)
+                flat = np.full((len(rows), max(1, size.max())), 0.0)
+                for i, v in enumerate(rows):
+                    flat[i, : len(v)] = v
+                ids = part.column("vec_id").to_numpy().astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, size, flat)], names=["ids", "sizes", "flat"])
+
+    return run
+
+
+def _best(n: int):
+    def unpack(ids: bytes, sizes: bytes, flat: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        i, k = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
+        m = np.frombuffer(flat, float).reshape(len(i), -1)
+        norm = np.sqrt((m * m).sum(axis=1))
+        return i, k, m, norm
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                v, q = (unpack(*[batch.column(f"{side}{x}")[r].as_py() for x in ("ids", "sizes", "flat")]) for side in ("", "q_"))
+                order = np.argsort(v[0], kind="stable")
+                ids, sizes, m, norm = (x[order] for x in v)
+                width = min(m.shape[1], q[2].shape[1])
+                with np.errstate(all="ignore"):
+                    score = q[2][:, :width] @ m[:, :width].T / (q[3][:, None] * norm)
+                score = np.sign(score) * np.floor(np.abs(score) * 1e6 + 0.5) / 1e6
+                score[(q[1][:, None] != sizes) | ~np.isfinite(score)] = -np.inf
+                other = q[0][:, None] != ids
+                # ids rise, so that a stable sort sends ties to the least id; a row itself comes behind all
+                first = np.argsort(np.where(other, -score, np.nan), axis=1, kind="stable")[:, :n]
+                at = np.arange(len(q[0]))[:, None]
+                keep = other[at, first]
+                best = score[at, first][keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.broadcast_to(q[0][:, None], first.shape)[keep]), pa.array(ids[first][keep]), pa.array(best, mask=np.isinf(best))], names=["query_id", "vec_id", "cosine"],
+                )
+
+    return run
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, n: int, block: int = 1024) -> DataFrame:
+    """The n other vectors of greatest cosine to each query vector (any number of rows); ties go to the least id.
+
+    Both sides are packed into blocks of at most ``block`` rows; of every two blocks each query keeps its
+    best n. Pairs without a cosine (null, zero, of different length) come last, with null.
+    """
+    spark = vectors.sparkSession
+    sides = [cut(rows.where("vec_id is not null").select(c("vec_id").cast("long"), "embedding").mapInArrow(_pack(block), "ids binary, sizes binary, flat binary"), "vectors") for rows in (vectors, queries)]
+    pairs = sides[0].repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).crossJoin(sides[1].select(*[c(x).alias(f"q_{x}") for x in ("ids", "sizes", "flat")]))
+    scored = pairs.mapInArrow(_best(n), "query_id long, vec_id long, cosine double")
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), F.asc("vec_id"))
     return scored.withColumn("rank", F.row_number().over(w)).where(c("rank") <= n)
 

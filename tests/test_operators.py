@@ -1,8 +1,10 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tendersieve.functions import scalars as S
-from tendersieve.operators import evaluation, graph, relational, trends
+from tendersieve.operators import evaluation, graph, relational, text, trends
+from tendersieve.queries import QUERIES
 from tendersieve.plans.scope import TenderFilter
 from tendersieve.sources import files
 from tendersieve.streaming import events as stream
@@ -73,3 +75,35 @@ def test_stream_gives_what_batch_gives(spark, tmp_path):
     q.awaitTermination()
     batch = stream.changes(events, "user_id", ["ts", "event_id"], "event_type").select("user_id", "before", "after")
     assert sorted(map(tuple, spark.table("changes").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def brute_nearest(rows, queries, n):
+    out = []
+    for q, x in queries:
+        found = []
+        for v, y in rows:
+            ok = x and y and len(x) == len(y) and any(x) and any(y)
+            if v != q:
+                found.append((-round(float(np.dot(x, y)) / (np.linalg.norm(x) * np.linalg.norm(y)), 6) if ok else np.inf, v))
+        out += [(q, v, None if s == np.inf else -s, k + 1) for k, (s, v) in enumerate(sorted(found)[:n])]
+    return sorted(out)
+
+
+def test_nearest_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=5).tolist()) for i in range(60)]
+    rows += [(100 + i, [1.0, 2.0, 0.0, 0.0, 1.0]) for i in range(30)] + [(200, None), (220, [0.0] * 5), (240, [1.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for block, n in ((7, 10), (1024, 3), (1024, 100)):
+        got = text.nearest(vectors, vectors.where("vec_id % 20 = 0"), n, block).select("query_id", "vec_id", "cosine", "rank").collect()
+        want = brute_nearest(rows, [r for r in rows if r[0] % 20 == 0], n)
+        assert [(r[0], r[1], r[3]) for r in sorted(map(tuple, got), key=lambda r: (r[0], r[3]))] == [(r[0], r[1], r[3]) for r in sorted(want, key=lambda r: (r[0], r[3]))]
+        assert {(r[0], r[1]): r[2] for r in got} == pytest.approx({(r[0], r[1]): r[2] for r in want})
+
+
+def test_cosine_topk_takes_every_twentieth_row(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    got = QUERIES["cosine_topk"](spark, sf).select("query_id", "vec_id", "cosine", "rank").collect()
+    want = brute_nearest(rows, [r for r in rows if r[0] % 20 == 0], 10)
+    assert {(r[0], r[3]): r[2] for r in got} == pytest.approx({(r[0], r[3]): r[2] for r in want}, abs=2e-6)
