@@ -15,6 +15,16 @@ def tokens(rows: DataFrame, id_: str, columns: list[str]) -> DataFrame:
     return rows.select(c(id_).alias("row"), F.explode(parts).alias("token"))
 
 
+def token_edges(rows: DataFrame, id_: str, columns: list[str]) -> DataFrame:
+    """(a, b): each row and the least row that shares a token with it, and a loop at each row.
+
+    Stars have the components of all pairs that share a token, and one edge a token of a row.
+    """
+    held = cut(tokens(rows, id_, columns), "tokens")
+    hub = cut(held.groupBy("token").agg(F.min("row").alias("b")), "hubs")
+    return held.join(hub, "token").select(c("row").alias("a"), "b").unionByName(rows.select(c(id_).alias("a"), c(id_).alias("b"))).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable over undirected edges (a, b).
 

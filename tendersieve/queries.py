@@ -580,6 +580,11 @@ def _(s, d):
     return graph.components(table(s, d, "customer").where("c_custkey % 3 = 0").select(c("c_custkey").alias("a"), (c("c_custkey") * 7919 % 1009 + 1).alias("b")))
 
 
+@query("identity_components")
+def _(s, d):
+    return graph.components(graph.token_edges(table(s, d, "customer"), "c_custkey", ["c_name", "c_acctbal"]))
+
+
 @query("communities")
 def _(s, d):
     return graph.communities(_edges(s, d).select("a", "b", c("amount").alias("w")), 5)

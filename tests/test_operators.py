@@ -107,3 +107,32 @@ def test_cosine_topk_takes_every_twentieth_row(spark):
     got = QUERIES["cosine_topk"](spark, sf).select("query_id", "vec_id", "cosine", "rank").collect()
     want = brute_nearest(rows, [r for r in rows if r[0] % 20 == 0], 10)
     assert {(r[0], r[3]): r[2] for r in got} == pytest.approx({(r[0], r[3]): r[2] for r in want}, abs=2e-6)
+
+
+def union_find(nodes, edges):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {n: find(n) for n in nodes}
+
+
+def test_components_of_identity_tokens_against_union_find(spark):
+    rows = [(i, f"n{i * 37 % 41}" if i % 3 else None, "" if i % 7 == 0 else f"t{i * 11 % 59}") for i in range(120)]
+    got = graph.components(graph.token_edges(spark.createDataFrame(rows, "id long, name string, tax string"), "id", ["name", "tax"])).collect()
+    shared = [(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and ((x[1] and x[1] == y[1]) or (x[2] and x[2] == y[2]))]
+    assert len(got) == len(rows) and {r.node: r.component for r in got} == union_find(range(120), shared)
+
+
+def test_every_customer_has_a_component(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/customer.parquet").collect()
+    shared = [(x.c_custkey, y.c_custkey) for x in rows for y in rows if x.c_custkey < y.c_custkey and (x.c_name == y.c_name or x.c_acctbal == y.c_acctbal)]
+    got = {r.node: r.component for r in QUERIES["identity_components"](spark, sf).collect()}
+    assert got == union_find([r.c_custkey for r in rows], shared)
