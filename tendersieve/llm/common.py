@@ -15,11 +15,16 @@ _SECOND = 0x5EED
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one of our own only where none is named (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where none is named, a temporary folder serves a local session; on a cluster that is an error, as a
+    folder of our own choice would lie on one machine's disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         found = tempfile.mkdtemp(prefix="tendersieve-")
-        spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -32,7 +37,29 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what ``materialize`` wrote for tables that nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.scratch)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def free_name(taken: list[str], wanted: str) -> str:
+    """``wanted``, with underscores behind it until it differs from all taken names, upper and lower case alike."""
+    known = {c.lower() for c in taken}
+    while wanted.lower() in known:
+        wanted += "_"
+    return wanted
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number for each row, written once: numbers given anew in each job could differ between jobs."""
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def text_key(text: Column) -> list[Column]:
