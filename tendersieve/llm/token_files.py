@@ -1,15 +1,11 @@
 """Token ids in files: an adaptive context-mixing range coder over independent blocks.
 
-Documents are encoded, dealt by range of their id and coded in that order. A block holds
-about ``BLOCK`` ids of consecutive documents (longer documents go on in further blocks), is
+Documents are encoded, dealt by range of their id and coded in that order. A block holds at most
+``BLOCK`` ids of consecutive documents (longer documents go on in further blocks), is
 coded with models of its own and has a crc32 of its ids, so any block can be read, checked
-or lost alone. An id is coded as hexadecimal digits. For each digit three adaptive models
-say what they have seen: order 0 (the digits before it), order 1 (with the id before) and
-order 2 (with the two ids before). Their counts are mixed by weights that follow how well
-each order did in the block so far; the mixture drives the range coder. All arithmetic is
-in whole numbers, so reading repeats it exactly.
-
-The blocks of a task are coded side by side in numpy, one id of each a step.
+or lost alone. ``range_coder`` has the models and the coding; the blocks of a task are coded
+side by side, up to ``LANES`` at a time, which bounds memory. Ids have 16 bits: a vocabulary
+of more than 65,536 ids is refused.
 
 Files: ``blocks`` (Parquet; part, seq, n, docs, payload, crc32; docs has the documents' ids, numbers of
 ids here and before, and whether they go on) in document order, and
@@ -35,159 +31,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import materialize, slices
 from .prefix import running_sum
+from .range_coder import decode_blocks, encode_blocks
 
-BLOCK = 4096
-LANES = 512
+BLOCK = 2048
+LANES = 4096
 END = 2
-DIGITS = 4
-_SLOTS = 1024
-_STEP = 24
-_FULL = 1600
-_TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
-_W = np.uint64(16)
-
-
-class _Models:
-    """Counts of the next digit in the contexts of three orders, for blocks side by side."""
-
-    def __init__(self, lanes: int):
-        self.width = 529 + 2 * _SLOTS
-        self.table = np.zeros((lanes * self.width, 16), np.uint16)
-        self.score = np.full((lanes, 3), 64, np.int32)
-        self.lane = np.arange(lanes)
-
-    def mixture(self, k: int, digit: int, path: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Running frequencies of the 16 digits for the first k blocks; remembers what it mixed."""
-        salt = path * 4 + digit % 4
-        at = np.empty((k, 3), np.int64)
-        at[:, 0] = (0, 1, 17, 273)[min(digit, 3)] + (path & 255)
-        at[:, 1] = 529 + ((one * 0x9E3779B1 + salt * 0x85EBCA77 >> 13) & (_SLOTS - 1))
-        at[:, 2] = 529 + _SLOTS + ((two * 0xC2B2AE3D + salt * 0x27D4EB2F >> 13) & (_SLOTS - 1))
-        at += (self.lane[:k] * self.width)[:, None]
-        self.at, self.rows = at, self.table[at]
-        weight = ((1 + (self.score[:k] >> 3)) * np.array([1, 2, 4], np.int32)).astype(np.uint32)
-        total = np.einsum("kos,ko->ks", self.rows, weight, dtype=np.uint32, casting="unsafe")
-        total += 1
-        return np.cumsum(total, axis=1, dtype=np.uint32)
-
-    def update(self, k: int, symbol: np.ndarray) -> None:
-        lane = self.lane[:k]
-        mass = self.rows.sum(axis=2, dtype=np.int32)
-        seen = self.rows[lane, :, symbol].astype(np.int32)
-        self.score[:k] += ((seen * 255 // (mass + 1)) - self.score[:k]) >> 4
-        self.rows[lane, :, symbol] += _STEP
-        full = mass + _STEP > _FULL
-        if full.any():
-            self.rows[full] >>= 1
-        self.table[self.at] = self.rows
-
-
-def _narrow(low: np.ndarray, span: np.ndarray, cum: np.ndarray, symbol: np.ndarray, unit: np.ndarray, lane: np.ndarray) -> None:
-    k = len(lane)
-    high = cum[lane, symbol].astype(np.uint64)
-    below = np.where(symbol > 0, cum[lane, symbol - 1], 0).astype(np.uint64)
-    low[:k] += below * unit
-    span[:k] = (high - below) * unit
-
-
-def _contexts(ids: np.ndarray, t: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    one = ids[:k, t - 1] + 1 if t else np.zeros(k, np.int64)
-    two = one * 65537 + (ids[:k, t - 2] + 1 if t > 1 else 0)
-    return one, two
-
-
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Payloads of blocks of ids below 16**DIGITS."""
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    size = np.array([len(blocks[i]) for i in order])
-    ids = np.zeros((len(blocks), int(size.max(initial=0))), np.int64)
-    for r, i in enumerate(order):
-        ids[r, : size[r]] = blocks[i]
-    models = _Models(len(blocks))
-    low = np.zeros(len(blocks), np.uint64)
-    span = np.full(len(blocks), np.iinfo(np.uint64).max, np.uint64)
-    out = np.zeros((len(blocks), ids.shape[1] * DIGITS + 8), np.uint16)
-    fill = np.zeros(len(blocks), np.int64)
-    for t in range(ids.shape[1]):
-        k = int(np.searchsorted(-size, -t, "left"))  # blocks longer than t
-        one, two = _contexts(ids, t, k)
-        path = np.zeros(k, np.int64)
-        lane = models.lane[:k]
-        for d in range(DIGITS):
-            symbol = ids[:k, t] >> 4 * (DIGITS - 1 - d) & 15
-            cum = models.mixture(k, d, path, one, two)
-            _narrow(low, span, cum, symbol, span[:k] // cum[:, -1], lane)
-            _shift(low, span, k, out, fill)
-            models.update(k, symbol)
-            path = path << 4 | symbol
-    for _ in range(4):
-        out[models.lane, fill] = low >> np.uint64(48)
-        fill += 1
-        low <<= _W
-    result: list[bytes] = [b""] * len(blocks)
-    for r, i in enumerate(order):
-        result[i] = out[r, : fill[r]].astype("<u2").tobytes()
-    return result
-
-
-def _settled(low: np.ndarray, span: np.ndarray, k: int) -> np.ndarray:
-    """Blocks whose leading 16 bits are settled, after narrowing ranges that grew too small to wait."""
-    settled = (low[:k] ^ (low[:k] + span[:k])) < _TOP
-    small = np.flatnonzero(~settled & (span[:k] < _BOT))
-    if len(small):
-        span[small] = (~low[small] + np.uint64(1)) & (_BOT - np.uint64(1))
-        settled[small] = True
-    return np.flatnonzero(settled)
-
-
-def _shift(low: np.ndarray, span: np.ndarray, k: int, out: np.ndarray, fill: np.ndarray) -> None:
-    while len(go := _settled(low, span, k)):
-        out[go, fill[go]] = low[go] >> np.uint64(48)
-        fill[go] += 1
-        low[go] <<= _W
-        span[go] <<= _W
-
-
-def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    """The ids of blocks of the given sizes."""
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    size = np.array([sizes[i] for i in order], np.int64)
-    ids = np.zeros((len(sizes), int(size.max(initial=0))), np.int64)
-    width = max((len(p) // 2 for p in payloads), default=0) + 4
-    words = np.zeros((len(sizes), width), np.uint64)
-    for r, i in enumerate(order):
-        words[r, : len(payloads[i]) // 2] = np.frombuffer(payloads[i], "<u2")
-    models = _Models(len(sizes))
-    low = np.zeros(len(sizes), np.uint64)
-    span = np.full(len(sizes), np.iinfo(np.uint64).max, np.uint64)
-    code = np.zeros(len(sizes), np.uint64)
-    for w in range(4):
-        code = code << _W | words[:, w]
-    fill = np.full(len(sizes), 4)
-    for t in range(ids.shape[1]):
-        k = int(np.searchsorted(-size, -t, "left"))
-        one, two = _contexts(ids, t, k)
-        path = np.zeros(k, np.int64)
-        lane = models.lane[:k]
-        for d in range(DIGITS):
-            cum = models.mixture(k, d, path, one, two)
-            unit = span[:k] // cum[:, -1]
-            value = np.minimum((code[:k] - low[:k]) // unit, (cum[:, -1] - np.uint32(1)).astype(np.uint64)).astype(np.uint32)
-            symbol = (cum <= value[:, None]).sum(axis=1)
-            _narrow(low, span, cum, symbol, unit, lane)
-            while len(go := _settled(low, span, k)):
-                code[go] = code[go] << _W | words[go, np.minimum(fill[go], width - 1)]
-                fill[go] += 1
-                low[go] <<= _W
-                span[go] <<= _W
-            models.update(k, symbol)
-            path = path << 4 | symbol
-        ids[:k, t] = path
-    result: list[np.ndarray] = [np.empty(0, np.int64)] * len(sizes)
-    for r, i in enumerate(order):
-        result[i] = ids[r, : size[r]]
-    return result
-
 
 #: Splits a text as the vocabulary's byte-level pre-tokenizer does; a fixed value.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -202,12 +50,15 @@ class _Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("token files hold ids of 16 bits; the vocabulary has more")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 16-bit integers."""
         if any(x in text for x in self.special):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
         words = PATTERN.findall(text)
         known = self.known
         new = list({w: None for w in words if w not in known})
@@ -215,11 +66,8 @@ class _Coder:
             if len(known) + len(new) > WORDS:
                 known.clear()
                 new = list(dict.fromkeys(words))
-            known.update(zip(new, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        out: list[int] = []
-        for w in words:
-            out += known[w]
-        return out
+            known.update(zip(new, (np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        return b"".join([known[w] for w in words])
 
 
 @lru_cache(2)
@@ -229,10 +77,10 @@ def _coder(path: str) -> _Coder:
 
 def _tokenize(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(path)
+        coder, stop = _coder(path), end.to_bytes(2, "little")
         for batch in batches:
             for first, part in slices(batch.column("text"), 1 << 20):
-                ids = [np.array([*coder.encode(x.decode()), end], "<u2").tobytes() for x in part]
+                ids = [coder.encode(x.decode()) + stop for x in part]
                 rows = batch.slice(first, len(part)).select(["uid", "id"])
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.binary())], names=["uid", "id", "ids"])
 

@@ -5,7 +5,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tendersieve.llm.token_files import decode_blocks, digests, encode_blocks, read_parts, write_tokens
+from tendersieve.llm.range_coder import decode_blocks, encode_blocks
+from tendersieve.llm.token_files import BLOCK, digests, read_parts, write_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -17,6 +18,34 @@ def test_blocks_round_trip_and_predictable_ids_cost_less():
     assert all((a == b).all() for a, b in zip(blocks, decode_blocks(coded, [len(b) for b in blocks]), strict=True))
     assert len(coded[3]) > 550 and len(coded[5]) < 250 and len(coded[7]) < 400
     assert encode_blocks([]) == []
+    with pytest.raises(ValueError, match="16384"):
+        encode_blocks([np.zeros(20_000, np.int64)])
+
+
+def test_any_mix_of_blocks_round_trips():
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        blocks = []
+        for _ in range(40):
+            n = int(rng.integers(0, 1500))
+            kind = rng.integers(0, 5)
+            x = rng.integers(0, [3, 50, 600, 65536, 65536][kind], n)
+            if kind == 4 and n > 10:
+                x = np.tile(x[:7], n // 7 + 1)[:n]
+                x[rng.integers(0, n, 5)] = 65535
+            blocks.append(x)
+        coded = encode_blocks(blocks)
+        assert all((a == b).all() for a, b in zip(blocks, decode_blocks(coded, [len(b) for b in blocks]), strict=True))
+
+
+def test_costs_less_than_deflate(spark):
+    """Ids of the table's texts, in blocks of the default size, against zlib over the very same blocks."""
+    t = Tokenizer.from_file(PATH)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if r.text]
+    ids = np.concatenate([t.encode(x, add_special_tokens=False).ids + [2] for x in texts])
+    blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
+    mine, deflated = sum(map(len, encode_blocks(blocks))), sum(len(zlib.compress(b.astype("<u2").tobytes())) for b in blocks)
+    assert mine < 0.9 * deflated
 
 
 def test_files(spark, tmp_path):
