@@ -1,7 +1,8 @@
 """License scans with DataFrame functions only: phrases, and an exact set-similarity join with templates.
 
-One pass over the texts finds the places of fixed phrases and, for every block (a line), the
-distinct words that any template has. A block that meets some template needs as many of them as
+One pass over the texts finds the places of fixed phrases and, for every block (``WINDOW``
+consecutive lines, one block from each line on, so that a template wrapped at 72 columns or more
+stands whole in one), the distinct words that any template has. A block that meets some template needs as many of them as
 the smallest required overlap, so all other blocks are left behind there (length filter). What
 stays is written and joined with the templates:
 
@@ -28,11 +29,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize
+from .common import free_name, materialize
 
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MOST_TEMPLATES = 1000
+WINDOW = 4
 
 #: (phrase, label); fixed values
 PHRASES = (
@@ -82,7 +84,7 @@ def license_scan(
     """``docs`` without ``text`` and with the columns of ``RESULT``.
 
     n_base, first_word and last_word are of the phrases' places; labels has the phrases' labels and those of
-    the templates of which some block holds ``threshold`` of the distinct words; score is the greatest such
+    the templates of which some block (``WINDOW`` consecutive lines) holds ``threshold`` of the distinct words; score is the greatest such
     share, 1 where a phrase stands, 0 for neither.
     """
     if len(templates) > MOST_TEMPLATES:
@@ -90,25 +92,27 @@ def license_scan(
     words = [sorted(set(t.split())) for _, t in templates]
     need = [math.ceil(round(threshold * len(w), 9)) for w in words]
     vocab = F.array(*[F.lit(w) for w in sorted(set().union(*words))]) if words else F.array().cast("array<string>")
-    rest = [c for c in docs.columns if c not in RESULT and c != text]
-
-    line = F.col("__line")
-    scanned = docs.select(F.monotonically_increasing_id().alias("__uid"), *[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("__text"))
-    scanned = scanned.withColumn("__line", normal(F.col("__text")))
-    scanned = scanned.withColumn("__padded", F.concat(F.lit(" "), F.replace(line, F.lit(" "), F.lit("  ")), F.lit(" ")))
-    found = [phrase_columns(F.col("__padded"), p) for p, _ in phrases]
+    rest = [c for c in docs.columns if c.lower() not in RESULT and c != text]
+    uid, raw, low, padded, lines, found_in = (free_name(rest, n) for n in ("s_uid", "s_text", "s_line", "s_padded", "s_lines", "s_blocks"))
+
+    line = F.col(low)
+    scanned = docs.select(F.monotonically_increasing_id().alias(uid), *[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias(raw))
+    scanned = scanned.withColumn(low, normal(F.col(raw)))
+    scanned = scanned.withColumn(padded, F.concat(F.lit(" "), F.replace(line, F.lit(" "), F.lit("  ")), F.lit(" ")))
+    found = [phrase_columns(F.col(padded), p) for p, _ in phrases]
     labels = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(n > 0, F.lit(label)) for (n, _, _), (_, label) in zip(found, phrases, strict=True)]))))
     least, most = (lambda cs: F.least(*cs) if len(cs) > 1 else cs[0]), (lambda cs: F.greatest(*cs) if len(cs) > 1 else cs[0])
-    blocks = F.transform(F.split(F.coalesce("__text", F.lit("")), "\n"), lambda x: F.array_intersect(F.split(normal(x), " "), vocab))
+    scanned = scanned.withColumn(lines, F.transform(F.split(F.coalesce(raw, F.lit("")), "\n"), lambda x: F.array_intersect(F.split(normal(x), " "), vocab)))
+    blocks = F.transform(F.col(lines), lambda x, i: F.array_distinct(F.flatten(F.slice(F.col(lines), i + 1, WINDOW))))
     base = scanned.select(
-        "__uid", *[F.col(f"`{c}`") for c in rest], F.when(line == "", 0).otherwise(spaces(line) + 1).cast("long").alias("n_words"),
+        uid, *[F.col(f"`{c}`") for c in rest], F.when(line == "", 0).otherwise(spaces(line) + 1).cast("long").alias("n_words"),
         reduce(lambda a, b: a + b, [n for n, _, _ in found]).cast("long").alias("n_base"), least([a for _, a, _ in found]).alias("first_word"),
         most([z for _, _, z in found]).alias("last_word"), labels.alias("base_labels"),
-        F.filter(blocks, lambda b: F.size(b) >= min(need, default=1)).alias("__blocks"),
+        F.filter(blocks, lambda b: F.size(b) >= min(need, default=1)).alias(found_in),
     )
     base = materialize(base, "scanned")
 
-    block = materialize(base.where(F.size("__blocks") > 0).select("__uid", F.posexplode("__blocks").alias("b", "words")), "blocks")
+    block = materialize(base.where(F.size(found_in) > 0).select(uid, F.posexplode(found_in).alias("b", "words")), "blocks")
     # one row a template word, however many blocks there are
     counts = {r["w"]: r["n"] for r in block.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     order = sorted(set().union(*words), key=lambda w: (counts.get(w, 0), w))
@@ -119,13 +123,13 @@ def license_scan(
         rows += [(w, k, templates[k][0], i, least_words, own) for i, w in enumerate(own[: len(own) - least_words + 1])]
     prefix = block.sparkSession.createDataFrame(rows, "w string, template int, label string, i int, need int, own array<string>")
     ranked = F.array_intersect(F.array(*[F.lit(w) for w in order]), F.col("words"))
-    first = block.select("__uid", "b", ranked.alias("words")).select("__uid", "b", "words", F.posexplode(F.slice("words", F.lit(1), F.size("words") - min(need, default=1) + 1)).alias("j", "w"))
+    first = block.select(uid, "b", ranked.alias("words")).select(uid, "b", "words", F.posexplode(F.slice("words", F.lit(1), F.size("words") - min(need, default=1) + 1)).alias("j", "w"))
     pairs = first.join(F.broadcast(prefix), "w")
     pairs = pairs.where((F.col("j") <= F.size("words") - F.col("need")) & (1 + F.least(F.size("own") - F.col("i") - 1, F.size("words") - F.col("j") - 1) + F.least("i", "j") >= F.col("need")))
     exact = pairs.withColumn("common", F.size(F.array_intersect("words", "own"))).where(F.col("common") >= F.col("need"))
-    more = exact.groupBy("__uid").agg(F.collect_set("label").alias("more"), F.max(F.col("common") / F.size("own")).alias("share"))
-    more = more.withColumnRenamed("__uid", "__other")
-    joined = base.join(more, F.col("__uid") == F.col("__other"), "left")
+    more = exact.groupBy(uid).agg(F.collect_set("label").alias("more"), F.max(F.col("common") / F.size("own")).alias("share"))
+    more = more.withColumnRenamed(uid, "s_other")
+    joined = base.join(more, F.col(uid) == F.col("s_other"), "left")
     every = F.array_sort(F.array_union("base_labels", F.coalesce("more", F.array().cast("array<string>"))))
     score = F.greatest(F.coalesce("share", F.lit(0.0)), F.when(F.col("n_base") > 0, 1.0).otherwise(0.0))
     return joined.select(

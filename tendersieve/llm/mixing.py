@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import materialize
+from .common import free_name, materialize, numbered
 from .prefix import running_sum
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -64,12 +64,13 @@ def offset(source: Column, seed: int) -> Column:
 
 
 def copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
-    """One row per row of ``docs``: (uid, id, size, source, source_size, target, copies).
+    """One row per row of ``docs``: (uid, id, size, source, source_size, target, copies); uid numbers the rows."""
+    return _copies(docs, F.monotonically_increasing_id(), id_col, text_col, source_col, weights, share, cap, seed)
 
-    uid is the row's number in ``docs`` (a table read from files, whose order is repeatable).
-    """
+
+def _copies(docs: DataFrame, uid: Column, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, cap: float, seed: int) -> DataFrame:
     rows = docs.select(
-        F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"),
+        uid.alias("uid"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"),
         word_count(F.col(f"`{text_col}`").cast("string")).alias("size"),
     )
     rows = materialize(rows, "words")  # the texts are read once
@@ -83,11 +84,11 @@ def copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     return joined.select("uid", "id", "size", "source", "source_size", F.col("target").cast("double").alias("target"), crossed.cast("long").alias("copies"))
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
     """``docs`` with each row as often as systematic sampling takes it."""
-    name = "__uid"
-    while name in docs.columns:
-        name += "_"
-    taken = copies(docs, **how).where("copies > 0").select(F.col("uid").alias(name), F.col("copies").alias(name + "n"))
-    joined = docs.withColumn(name, F.monotonically_increasing_id()).join(taken, name)
-    return joined.withColumn(name, F.explode(F.sequence(F.lit(1), F.col(name + "n").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = free_name(docs.columns, "uid")
+    times = free_name([*docs.columns, name], "copies")
+    rows = numbered(docs, name)
+    taken = _copies(rows, F.col(name), id_col, text_col, source_col, weights, share, cap, seed).where("copies > 0")
+    joined = rows.join(taken.select(F.col("uid").alias(name), F.col("copies").alias(times)), name)
+    return joined.withColumn(name, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -35,7 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, ranges, slices
+from .common import free_name, materialize, numbered, ranges, slices
 
 MARK = "▁"
 #: Stands for a mark in the text itself; it cannot occur in valid UTF-8.
@@ -534,12 +534,12 @@ RESULT = "ids array<int>, n_pieces int, ids_crc32 long, decoded_ok boolean"
 def encode_documents(docs: DataFrame, path: str, text: str = "text", *, chunk: int = CHUNK) -> DataFrame:
     """``docs`` with the columns of ``RESULT``: the ids, their number, the crc32 of the ids as little-endian
     unsigned 32-bit integers, and whether decoding them gives the text back.
-
-    Rows are numbered by their order: give a table read from files.
+    Columns of ``docs`` named like a result, in upper or lower case, are replaced.
     """
     names = ["ids", "n_pieces", "ids_crc32", "decoded_ok"]
-    rest = [c for c in docs.columns if c not in names]
-    numbered = docs.select(F.monotonically_increasing_id().alias("__uid"), *[F.col(f"`{c}`") for c in rest])
+    rest = [c for c in docs.columns if c.lower() not in names]
+    number = free_name(rest, "uid")
+    table = numbered(docs.select(*[F.col(f"`{c}`") for c in rest]), number)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
     def rows(p: Pieces, part: pa.RecordBatch, texts: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
@@ -564,8 +564,8 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", *, chunk: i
                 flat, sizes = pc.list_flatten(own.column("ids")).to_numpy(), pc.list_value_length(own.column("ids")).to_numpy()
                 yield rows(p, own, part, flat, sizes)
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.drop("__uid").schema.fields), RESULT])
-    short = numbered.where(F.char_length(body) <= chunk).drop("__uid").mapInArrow(whole, schema)
-    giant = numbered.where(F.char_length(body) > chunk)
-    coded = encode_chunks(giant.select(F.col("__uid").alias("uid"), F.col(f"`{text}`").alias("text")), path, chunk)
-    return short.unionByName(giant.join(coded.withColumnRenamed("uid", "__uid"), "__uid").drop("__uid").mapInArrow(joined, schema))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in table.drop(number).schema.fields), RESULT])
+    short = table.where(F.char_length(body) <= chunk).drop(number).mapInArrow(whole, schema)
+    giant = table.where(F.char_length(body) > chunk)
+    coded = encode_chunks(giant.select(F.col(number).alias("uid"), F.col(f"`{text}`").alias("text")), path, chunk)
+    return short.unionByName(giant.join(coded.select(F.col("uid").alias(number), "ids"), number).drop(number).mapInArrow(joined, schema))

@@ -118,10 +118,10 @@ def quality_rules(
     base_failed: fewer than ``min_words`` words, or more than ``max_repeat_percent`` percent of them in
     3-word windows found twice or more. The method's verdict also rejects a text whose repeats of
     ``min_repeat_words`` words or more cover more than ``max_covered_fraction`` of it, or whose longest
-    repeat exceeds ``max_longest_repeat`` words. Columns of ``docs`` named like a result are replaced.
+    repeat exceeds ``max_longest_repeat`` words. Columns of ``docs`` named like a result, in upper or lower case, are replaced.
     """
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    rest = [c for c in docs.columns if c not in names]
+    rest = [c for c in docs.columns if c.lower() not in names]
     source = docs.select(*[F.col(f"`{c}`") for c in rest])
     schema = source.schema
 

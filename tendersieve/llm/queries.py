@@ -140,7 +140,8 @@ WITH w AS (
 ), t(label, own) AS (
   SELECT label, list_distinct(string_split(x, ' ')) FROM (VALUES @TEMPLATES@) v(label, x)
 ), l AS (
-  SELECT k, list_distinct(regexp_extract_all(u, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ws FROM (SELECT k, unnest(string_split(t, chr(10))) AS u FROM d)
+  SELECT k, list_distinct(regexp_extract_all(array_to_string(list_slice(us, i, i + 3), ' '), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ws
+  FROM (SELECT k, us, unnest(range(1, len(us) + 1)) AS i FROM (SELECT k, string_split(t, chr(10)) AS us FROM d))
 ), m AS (
   SELECT k, list(DISTINCT label) AS more, max(len(list_intersect(ws, own)) / len(own)) AS share
   FROM l JOIN t ON len(ws) >= ceil(round(0.8 * len(own), 9)) AND len(list_intersect(ws, own)) >= ceil(round(0.8 * len(own), 9)) GROUP BY k

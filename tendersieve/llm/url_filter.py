@@ -17,6 +17,8 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import free_name
+
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
 MOST_RULES = 1_000_000
@@ -93,7 +95,8 @@ def filter_urls(pages: DataFrame, rules: Iterable[Rule], url: str = "url", *, de
             yield pd.DataFrame({"rule": [r for _, r in found], "verdict": [v for v, _ in found]})
 
     host, path = url_parts(F.col(f"`{url}`").cast("string"))
-    rest = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict") or c == url]
+    rest = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict") or c == url]
+    found = free_name([*pages.columns, "host", "path"], "found")
     parts = pages.select(*rest, host.alias("host"), path.alias("path"))
-    judged = parts.withColumn("__found", judge("host", "path"))
-    return judged.select("*", "__found.rule", "__found.verdict").drop("__found")
+    judged = parts.withColumn(found, judge("host", "path"))
+    return judged.select("*", f"{found}.rule", f"{found}.verdict").drop(found)

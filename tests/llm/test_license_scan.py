@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 
 from tendersieve.llm.license_scan import PHRASES, TEMPLATES, license_scan
 
@@ -17,8 +18,9 @@ def scan(text, phrases, templates, threshold):
     more, score = set(), float(bool(places))
     for label, t in templates:
         own = set(t.split())
-        for block in lower.split("\n"):
-            share = len(own & set(find(block))) / len(own)
+        lines = lower.split("\n")
+        for i in range(len(lines)):
+            share = len(own & set(find(" ".join(lines[i : i + 4])))) / len(own)
             if share >= threshold - 1e-12:
                 more.add(label)
                 score = max(score, share)
@@ -42,3 +44,13 @@ def test_against_brute_force(spark):
     for i, t in enumerate(texts):
         assert got[i] == scan(t, phrases, templates, 0.8), t
     assert license_scan(docs.limit(0)).count() == 0
+
+
+def test_wrapped_licenses_are_found(spark):
+    """Each template wrapped at 72 columns, behind comment marks, among other lines."""
+    rows = []
+    for i, (label, text) in enumerate(TEMPLATES):
+        lines = textwrap.wrap(text, 72)
+        rows.append((i, label, "\n".join(["# made by hand", *(f"# {x}" for x in lines), "x = 1"])))
+    docs = spark.createDataFrame(rows, "doc_id long, want string, text string")
+    assert all(r.want in r.labels.split(",") for r in license_scan(docs).collect())
