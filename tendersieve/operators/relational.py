@@ -51,13 +51,15 @@ def stratified_sample(rows: DataFrame, stratum: str, id_: str, quota: int, seed:
     return rows.withColumn("rn", F.row_number().over(w)).where(c("rn") <= quota)
 
 
-def keyset_page(rows: DataFrame, sort: str, id_: str, after: tuple[object, int] | None, size: int) -> DataFrame:
-    """The page behind a cursor, ``sort`` ascending with nulls last, id as tiebreak: a predicate and a top-k."""
+def keyset_page(rows: DataFrame, sort: str, id_: str, after: tuple[object, int] | None, size: int, descending: bool = False) -> DataFrame:
+    """The page behind a cursor, ``sort`` in either direction with nulls last, id (in the same direction) as tiebreak: a predicate and a top-k."""
     if after is not None:
         v, i = after
-        more = (c(sort).isNull() & (c(id_) > i)) if v is None else (c(sort) > F.lit(v)) | ((c(sort) == F.lit(v)) & (c(id_) > i)) | c(sort).isNull()
-        rows = rows.where(more)
-    return rows.orderBy(c(sort).asc_nulls_last(), c(id_).asc()).limit(size)
+        later = c(id_) < i if descending else c(id_) > i
+        beyond = (c(sort) < F.lit(v)) if descending else (c(sort) > F.lit(v))
+        rows = rows.where((c(sort).isNull() & later) if v is None else beyond | ((c(sort) == F.lit(v)) & later) | c(sort).isNull())
+    order = [c(sort).desc_nulls_last(), c(id_).desc()] if descending else [c(sort).asc_nulls_last(), c(id_).asc()]
+    return rows.orderBy(*order).limit(size)
 
 
 def offset_page(rows: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:

@@ -27,6 +27,11 @@ class TenderFilter:
     text: str | None = None  # folded, in the body's name
     prefixes: tuple[str, ...] = ()  # of the id
     body_words: tuple[str, ...] = ()  # all of them
+    codes: tuple[str, ...] = ()  # prefixes of the column ``code``
+    body_types: tuple[str, ...] = ()  # column ``body_type``
+    days_left: tuple[int, int] | None = None  # least and most days from ``today`` to the column ``deadline``
+    today: str | None = None
+    unique: bool = False  # no tenders that another one stands for (column ``canonical``, null or the own id for those that stay)
 
     def is_empty(self) -> bool:
         return self == TenderFilter()
@@ -52,6 +57,14 @@ class TenderFilter:
             parts.append(F.contains(fold(c("body")), fold(F.lit(self.text))))
         if self.prefixes:
             parts.append(reduce(lambda a, b: a | b, [c("id").cast("string").startswith(p) for p in self.prefixes]))
+        if self.codes:
+            parts.append(reduce(lambda a, b: a | b, [F.startswith(c("code"), F.lit(p)) for p in self.codes]))
+        if self.body_types:
+            parts.append(c("body_type").isin(*self.body_types))
+        if self.days_left:
+            parts.append(F.datediff(c("deadline"), F.lit(self.today).cast("date")).between(*self.days_left))
+        if self.unique:
+            parts.append(c("canonical").isNull() | (c("canonical") == c("id")))
         parts += [F.contains(fold(c("body")), fold(F.lit(w))) for w in self.body_words]
         return reduce(lambda a, b: a & b, parts, F.lit(True))
 

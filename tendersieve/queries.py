@@ -2,38 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tendersieve.functions import scalars as S
+from tendersieve import more_queries as more_queries
 from tendersieve.operators import bodies, evaluation, graph, labels, market, overview, relational, text, trends
-from tendersieve.plans.domain import AWARDS_SQL, TENDERS_SQL, awards, places, table, tenders
+from tendersieve.plans.domain import awards, places, table, tenders
 from tendersieve.plans.scope import TenderFilter
+from tendersieve.registry import ORACLE_SQL as ORACLE_SQL, QUERIES as QUERIES, query
 from tendersieve.sources import files
 from tendersieve.streaming import events as stream
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 c = F.col
 NOW = "1998-06-01"
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            with_ = [x for key, x in (("@t", TENDERS_SQL), ("@a", AWARDS_SQL)) if key in sql]
-            body = sql.replace("@t", "t").replace("@a", "a").strip()
-            if with_:
-                body = f"WITH {', '.join(with_)}{', ' + body[5:] if body.upper().startswith('WITH ') else ' ' + body}"
-            ORACLE_SQL[name] = body
-        return f
-
-    return put
-
-
 # -- overview ----------------------------------------------------------------------------------
 
 SCOPE = TenderFilter(since="1995-01-01", until="1997-12-31", statuses=("O", "F"), least=1000.0)
@@ -511,9 +494,11 @@ def _(s, d):
     return yearly.withColumn("p", before).select("year", "region", "n", S.variation(c("n"), c("p")).alias("change"))
 
 
-@query("event_props_json", "SELECT event_type, count(*) AS n, count(DISTINCT props) AS shapes FROM events GROUP BY 1")
+@query("event_props_json", "SELECT event_type, k AS key, count(*) AS n, count(DISTINCT json_extract_string(props, '$.' || k)) AS n_values FROM (SELECT event_type, props, unnest(json_keys(props)) AS k FROM events WHERE json_valid(props)) GROUP BY ALL")
 def _(s, d):
-    return table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("props").alias("shapes"))
+    """Keys of the JSON in ``props`` with their numbers of values; malformed JSON has none."""
+    keys = F.explode(F.from_json("props", "map<string,string>")).alias("key", "v")
+    return table(s, d, "events").select("event_type", keys).groupBy("event_type", "key").agg(F.count("*").alias("n"), F.countDistinct("v").alias("n_values"))
 
 
 # -- text and vectors --------------------------------------------------------------------------
@@ -551,13 +536,17 @@ def _(s, d):
     return text.fused([(1.2, long_), (0.8, late)], "doc_id", 40)
 
 
-@query("cosine_topk")
+@query("cosine_topk", """WITH x AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
+  y AS (SELECT query_id, vec_id, sign(s) * floor(abs(s) * 1e6 + 0.5) / 1e6 AS cosine FROM x) SELECT query_id, vec_id, cosine, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS INT) AS rank FROM y QUALIFY rank <= 10""")
 def _(s, d):
     vectors = table(s, d, "embeddings")
     return text.nearest(vectors, vectors.where("vec_id % 20 = 0"), 10)
 
 
-@query("language_id")
+@query("language_id", """WITH p AS (SELECT lang, ' ' || replace(lower(coalesce(text, '')), ' ', '  ') || ' ' AS t FROM documents),
+  m(k, w) AS (VALUES ('en', 'the'), ('en', 'and'), ('en', 'with'), ('de', 'der'), ('de', 'und'), ('de', 'mit'), ('es', 'el'), ('es', 'los'), ('es', 'con'), ('fr', 'le'), ('fr', 'les'), ('fr', 'avec')),
+  n AS (SELECT row_number() OVER () AS i, lang, t FROM p), h AS (SELECT i, any_value(lang) AS lang, k, sum((length(t) - length(replace(t, ' ' || w || ' ', ''))) // (length(w) + 2)) AS hits FROM n, m GROUP BY i, k),
+  b AS (SELECT lang, CASE WHEN hits = 0 THEN 'und' ELSE k END AS language, row_number() OVER (PARTITION BY i ORDER BY hits DESC, k) AS r FROM h) SELECT language, lang, count(*) AS n FROM b WHERE r = 1 GROUP BY ALL""")
 def _(s, d):
     return table(s, d, "documents").groupBy(text.language(F.coalesce("text", F.lit(""))).alias("language"), "lang").agg(F.count("*").alias("n"))
 

@@ -1,3 +1,5 @@
+import zipfile
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +138,79 @@ def test_every_customer_has_a_component(spark):
     shared = [(x.c_custkey, y.c_custkey) for x in rows for y in rows if x.c_custkey < y.c_custkey and (x.c_name == y.c_name or x.c_acctbal == y.c_acctbal)]
     got = {r.node: r.component for r in QUERIES["identity_components"](spark, sf).collect()}
     assert got == union_find([r.c_custkey for r in rows], shared)
+
+
+def test_guarded_sql_refuses_all_but_queries(spark, tmp_path):
+    spark.range(3).createOrReplaceTempView("guarded_numbers")
+    spark.range(2).write.parquet(str(tmp_path / "p"))
+    good = [
+        "SELECT id, ';' AS mark FROM guarded_numbers WHERE id IN (SELECT max(id) FROM guarded_numbers)",
+        "WITH x AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM guarded_numbers) SELECT * FROM x UNION ALL SELECT 7, 8 ORDER BY 1;",
+        "SELECT id % 2 AS k, count(*) FILTER (WHERE id > 0) AS n FROM guarded_numbers a JOIN (VALUES (1), (2)) v(x) ON x = id GROUP BY 1 HAVING count(*) > 0",
+    ]
+    for sql in good:
+        assert files.guarded_sql(spark, sql).columns[-1] == "truncated"
+    assert files.guarded_sql(spark, good[0]).first().mark == ";"
+    assert [r.truncated for r in files.guarded_sql(spark, "SELECT id FROM guarded_numbers", rows=2).collect()] == [True, True]
+    bad = [
+        "WITH x AS (SELECT 7 AS a) INSERT INTO guarded_numbers SELECT a FROM x", "SELECT TRANSFORM(id) USING 'cat' FROM guarded_numbers", "SELECT reflect('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT (SELECT java_method('java.lang.System', 'exit', 1))", f"SELECT * FROM parquet.`{tmp_path / 'p'}`", "WITH x AS (SELECT reflect('a', 'b')) SELECT * FROM x", "DROP VIEW guarded_numbers",
+        "SET a = 1", "SELECT 1; SELECT 2", "SELECT * FROM python_worker_logs()", "EXPLAIN SELECT 1", "SELECT 1 WHERE exists(SELECT * FROM csv.`/etc/passwd`)", "",
+    ]
+    for sql in bad:
+        with pytest.raises(ValueError):
+            files.guarded_sql(spark, sql)
+
+
+ENTRY_XML = """<feed><entry><id>e1</id><title>Old</title><updated>2024-01-01T00:00:00Z</updated><ContractFolderStatus><ContractFolderID>F/1</ContractFolderID></ContractFolderStatus></entry>
+<entry><id>e1</id><title>Works</title><updated>2024-02-01T00:00:00Z</updated><ContractFolderStatus><ContractFolderID>F/1</ContractFolderID><ContractFolderStatusCode>RES</ContractFolderStatusCode>
+<LocatedContractingParty><Party><PartyName><Name>Town</Name></PartyName></Party></LocatedContractingParty>
+<ProcurementProject><Name>w</Name><TypeCode>3</TypeCode><BudgetAmount><TaxExclusiveAmount>1000.5</TaxExclusiveAmount></BudgetAmount><RequiredCommodityClassification><ItemClassificationCode>45000000</ItemClassificationCode></RequiredCommodityClassification></ProcurementProject>
+<ProcurementProjectLot><ID>1</ID><ProcurementProject><Name>north</Name><BudgetAmount><TaxExclusiveAmount>600</TaxExclusiveAmount></BudgetAmount></ProcurementProject></ProcurementProjectLot>
+<ProcurementProjectLot><ID>2</ID></ProcurementProjectLot>
+<TenderResult><ResultCode>8</ResultCode><ReceivedTenderQuantity>3</ReceivedTenderQuantity><WinningParty><PartyIdentification><ID>B1</ID></PartyIdentification><PartyName><Name>Acme SL</Name></PartyName></WinningParty>
+<AwardedTenderedProject><ProcurementProjectLotID>1</ProcurementProjectLotID><LegalMonetaryTotal><TaxExclusiveAmount>550</TaxExclusiveAmount></LegalMonetaryTotal></AwardedTenderedProject></TenderResult>
+</ContractFolderStatus></entry><entry><title>nothing</title></entry></feed>"""
+
+
+def test_nested_entries_and_archives(spark, tmp_path):
+    (tmp_path / "f.xml").write_text(ENTRY_XML)
+    tenders, lots, won = files.parse_entries(files.read_feed(spark, str(tmp_path / "f.xml"), files.ENTRY))
+    t = tenders.collect()
+    assert [(r.id, r.folder, r.title, r.status, r.body, r.type, r.budget, r.codes) for r in t] == [("e1", "F/1", "Works", "RES", "Town", "3", 1000.5, ["45000000"])]
+    assert sorted((r.lot, r.name, r.budget) for r in lots.collect()) == [("1", "north", 600.0), ("2", None, None)]
+    assert [(r.lot, r.bids, r.tax_id, r.company, r.awarded) for r in won.collect()] == [("1", 3, "B1", "Acme SL", 550.0)]
+    with zipfile.ZipFile(tmp_path / "m.zip", "w") as z:
+        z.writestr("a.atom", ENTRY_XML)
+        z.writestr("readme.txt", "no")
+    (tmp_path / "broken.zip").write_bytes(b"no archive")
+    got = {(r.path.rsplit("/", 1)[1], r.name, r.body == ENTRY_XML) for r in files.read_archives(spark, str(tmp_path / "*.zip")).collect()}
+    assert got == {("m.zip", "a.atom", True), ("broken.zip", None, False)}
+
+
+def test_csv_begins_with_a_mark(spark, tmp_path):
+    files.write_csv(spark.createDataFrame([("á", 1)], "name string, n int").coalesce(1), str(tmp_path / "c"))
+    raw = next((tmp_path / "c").glob("part-*")).read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbfname;n")
+
+
+def test_holt_winters_and_communities_against_plain_python(spark):
+    edges = [(1, 2, 5.0), (2, 3, 5.0), (1, 3, 5.0), (4, 5, 5.0), (5, 6, 5.0), (4, 6, 5.0), (3, 4, 0.5)]
+    got = {r[0]: r[1] for r in graph.communities(spark.createDataFrame(edges, "a long, b long, w double"), 10).collect()}
+    assert got[1] == got[2] == got[3] and got[4] == got[5] == got[6] and got[1] != got[4]
+
+
+def test_scalars_of_dates(spark):
+    rows = spark.createDataFrame([("2024-07-01T21:59:00+00:00",), ("2024-07-01",), ("2024-07-01T23:30:00+00:00",), ("no date at all",), (None,)], "t string")
+    assert [r[0] for r in rows.select(S.local_deadline_hour(F.col("t"))).collect()] == ["23:59", None, None, None, None]
+    days = {str(r[0]) for r in spark.range(1).select(F.explode(F.array(*[S.easter(F.lit(y)) for y in (1961, 2024, 2025, 2038)]))).collect()}
+    assert days == {"1961-04-02", "2024-03-31", "2025-04-20", "2038-04-25"}
+
+
+def test_keyset_pages_descending_cover_all_rows_once(spark):
+    rows = spark.createDataFrame([(i, None if i % 4 == 0 else float(i % 3)) for i in range(20)], "id long, v double")
+    seen, after = [], None
+    while page := relational.keyset_page(rows, "v", "id", after, 6, descending=True).collect():
+        seen += [r.id for r in page]
+        after = (page[-1].v, page[-1].id)
+    assert len(seen) == 20 and sorted(seen) == list(range(20))
