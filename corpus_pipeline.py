@@ -1,4 +1,10 @@
-"""From raw documents to token ids: quality rules, near-duplicates, repeated passages, mixing, encoding."""
+"""From raw documents to token ids: quality rules, near-duplicates, repeated passages, mixing, encoding.
+
+Defined cases: null and empty texts fail the quality rules (fewer than 50 words) and go; of equal texts, repeated
+rows and ties one row stays; a text that is all repeated passages stays, empty; a null source is a source
+of its own, the last; an empty table gives an empty result; extra columns of documents go through to the
+last stage, which returns its own columns.
+"""
 
 from __future__ import annotations
 
