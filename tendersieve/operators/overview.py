@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tendersieve.functions.scalars import pct_delta
+from tendersieve.sources.files import cut
 
 c = F.col
 
@@ -85,10 +86,18 @@ def compare_periods(tenders: DataFrame, first: tuple[str, str], second: tuple[st
 
 
 def systematic_sample(tenders: DataFrame, n: int) -> DataFrame:
-    """Every ceil(total / n)-th tender, newest first."""
-    numbered = tenders.withColumn("rn", F.row_number().over(Window.orderBy(F.desc_nulls_last("published"), F.desc("id"))))
-    stride = F.ceil(F.count("*").over(Window.partitionBy()) / F.lit(n))
-    return numbered.withColumn("stride", stride).where((c("rn") - 1) % c("stride") == 0).select("id", "rn")
+    """Every ceil(total / n)-th tender, newest first.
+
+    Tenders are dealt by range of the order; each partition numbers its own, after those of the partitions before it.
+    """
+    order = [F.desc_nulls_last("published"), F.desc("id")]
+    dealt = cut(tenders.select("id", "published").repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "dealt")
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("k"))
+    # one row a partition
+    before = sizes.select("part", (F.sum("k").over(Window.orderBy("part")) - c("k")).alias("before"), F.sum("k").over(Window.partitionBy()).alias("total"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    numbered = dealt.withColumn("place", place).join(before, "part").withColumn("rn", (c("place") + c("before")).cast("int"))
+    return numbered.where((c("rn") - 1) % F.ceil(c("total") / F.lit(n)) == 0).select("id", "rn")
 
 
 def top_with_awards(tenders: DataFrame, awards: DataFrame, n: int) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tendersieve.functions.scalars import fold, words
+from tendersieve.functions.scalars import fold
 from tendersieve.sources.files import cut
 
 c = F.col
@@ -18,16 +18,17 @@ MARKERS = {"en": ("the", "and", "with"), "de": ("der", "und", "mit"), "es": ("el
 
 
 def term_coverage(docs: DataFrame, terms: list[str], n: int) -> DataFrame:
-    """Documents by the summed weight ln(1 + N / df) of the terms they hold; the missing ones beside.
+    """Documents by the summed weight ln(1 + N / df) of the terms they hold.
 
-    One pass marks the terms; a second sums weights that come as one row.
+    Each term is looked for as a word; what was found is written once, and weights, sums and N come from it.
     """
-    own = [fold(F.lit(t)) for t in terms]
-    marked = docs.select("doc_id", F.array_intersect(words(c("text")), F.array(*own)).alias("found")).where(F.size("found") > 0)
-    total = docs.agg(F.count("*").alias("n_docs"))
-    df = marked.select(F.explode("found").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    weight = df.crossJoin(total).select("term", F.log(1 + c("n_docs") / c("df")).alias("w"))
-    scored = marked.withColumn("term", F.explode("found")).join(weight, "term").groupBy("doc_id").agg(F.round(F.sum("w"), 6).alias("score"), F.count("*").alias("terms"))
+    padded = F.concat(F.lit(" "), F.regexp_replace(fold(F.coalesce("text", F.lit(""))), "[^a-z0-9]+", " "), F.lit(" "))
+    found = F.array_compact(F.array(*[F.when(F.contains(c("t"), fold(F.lit(f" {t} "))), F.lit(t)) for t in terms]))
+    marked = cut(docs.select("doc_id", padded.alias("t")).select("doc_id", found.alias("found")), "marked")
+    total = marked.agg(F.count("*").alias("n_docs"))
+    each = marked.select("doc_id", F.explode("found").alias("term"))
+    weight = each.groupBy("term").agg(F.count("*").alias("df")).crossJoin(total).select("term", F.log(1 + c("n_docs") / c("df")).alias("w"))
+    scored = each.join(weight, "term").groupBy("doc_id").agg(F.round(F.sum("w"), 6).alias("score"), F.count("*").alias("terms"))
     return scored.orderBy(F.desc("score"), F.asc("doc_id")).limit(n)
 
 

@@ -19,26 +19,40 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", F.col("n_name").alias("province"), F.col("r_name").alias("region"))
 
 
-def tenders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, body_id, body, segment, status, kind, amount, published, province, region, tags."""
-    body = table(spark, sf_dir, "customer").join(places(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
-    return table(spark, sf_dir, "orders").join(body, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("body_id"), F.col("c_name").alias("body"), F.col("c_mktsegment").alias("segment"),
-        F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("kind"), F.col("o_totalprice").alias("amount"),
-        F.col("o_orderdate").alias("published"), "province", "region", F.array("c_mktsegment", F.split("o_orderpriority", "-")[1]).alias("tags"),
-    )
-
-
-def awards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tender_id, lot, company_id, company, budget, awarded, bids, awarded_on, part_id, cpv, brand."""
-    part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
-    item = table(spark, sf_dir, "lineitem")
-    return item.join(part, item.l_partkey == part.p_partkey).join(supplier, item.l_suppkey == supplier.s_suppkey).select(
-        F.col("l_orderkey").alias("tender_id"), F.col("l_linenumber").alias("lot"), F.col("l_suppkey").alias("company_id"), F.col("s_name").alias("company"),
-        F.col("l_extendedprice").alias("budget"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("awarded"),
-        F.col("l_quantity").cast("int").alias("bids"), F.col("l_shipdate").alias("awarded_on"), F.col("l_partkey").alias("part_id"),
-        F.col("p_type").alias("cpv"), F.col("p_brand").alias("brand"),
-    )
+def tenders(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
+    """id, body_id, body, segment, status, kind, amount, published, province, region, tags; or the wanted ones of them.
+
+    Only the tables that wanted columns come from are joined: every tender has a body and every body a place,
+    so leaving out a join keeps all rows, which the optimizer can't know.
+    """
+    columns = {
+        "id": F.col("o_orderkey"), "body_id": F.col("o_custkey"), "body": F.col("c_name"), "segment": F.col("c_mktsegment"), "status": F.col("o_orderstatus"), "kind": F.col("o_orderpriority"),
+        "amount": F.col("o_totalprice"), "published": F.col("o_orderdate"), "province": F.col("province"), "region": F.col("region"), "tags": F.array("c_mktsegment", F.split("o_orderpriority", "-")[1]),
+    }
+    names = wanted or tuple(columns)
+    rows = table(spark, sf_dir, "orders")
+    if {"body", "segment", "province", "region", "tags"} & set(names):
+        body = table(spark, sf_dir, "customer")
+        if {"province", "region"} & set(names):
+            body = body.join(places(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
+        rows = rows.join(body, F.col("o_custkey") == F.col("c_custkey"))
+    return rows.select(*[columns[n].alias(n) for n in names])
+
+
+def awards(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
+    """tender_id, lot, company_id, company, budget, awarded, bids, awarded_on, part_id, cpv, brand; or the wanted ones of them, as in ``tenders``."""
+    columns = {
+        "tender_id": F.col("l_orderkey"), "lot": F.col("l_linenumber"), "company_id": F.col("l_suppkey"), "company": F.col("s_name"), "budget": F.col("l_extendedprice"),
+        "awarded": F.col("l_extendedprice") * (1 - F.col("l_discount")), "bids": F.col("l_quantity").cast("int"), "awarded_on": F.col("l_shipdate"), "part_id": F.col("l_partkey"),
+        "cpv": F.col("p_type"), "brand": F.col("p_brand"),
+    }
+    names = wanted or tuple(columns)
+    rows = table(spark, sf_dir, "lineitem")
+    if {"cpv", "brand"} & set(names):
+        rows = rows.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    if "company" in names:
+        rows = rows.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return rows.select(*[columns[n].alias(n) for n in names])
 
 
 #: The same entities for DuckDB.

@@ -25,7 +25,7 @@ SCOPE = TenderFilter(since="1995-01-01", until="1997-12-31", statuses=("O", "F")
 @query("overview_kpis", "SELECT count(*) AS n, round(sum(amount), 2) AS amount, round(avg(amount), 2) AS mean_amount, count(DISTINCT body_id) AS bodies FROM @t "
        "WHERE published >= '1995-01-01' AND published < '1998-01-01' AND status IN ('O', 'F') AND amount >= 1000")
 def _(s, d):
-    return overview.kpis(SCOPE.apply(tenders(s, d)))
+    return overview.kpis(SCOPE.apply(tenders(s, d, "amount", "body_id", "published", "status")))
 
 
 @query("scope_all_fields", "SELECT id, region, kind FROM @t WHERE region IN ('ASIA', 'EUROPE') AND status = 'O' AND (kind IS NULL OR kind NOT IN ('5-LOW')) "
@@ -37,17 +37,17 @@ def _(s, d):
 
 @query("status_funnel", "SELECT count(*) FILTER (status = 'O') AS open, count(*) FILTER (status IN ('F', 'P')) AS done, count(*) AS total FROM @t")
 def _(s, d):
-    return overview.funnel(tenders(s, d), {"open": ("O",), "done": ("F", "P")})
+    return overview.funnel(tenders(s, d, "status"), {"open": ("O",), "done": ("F", "P")})
 
 
 @query("monthly_volume", "SELECT strftime(date_trunc('month', published), '%Y-%m-%d') AS bucket, count(*) AS n, round(sum(amount), 2) AS amount FROM @t GROUP BY 1")
 def _(s, d):
-    return trends.series(tenders(s, d), "month")
+    return trends.series(tenders(s, d, "published", "amount"), "month")
 
 
 @query("top_bodies", "SELECT body, count(*) AS n, round(sum(amount), 2) AS amount FROM @t GROUP BY 1 ORDER BY n DESC, body LIMIT 10")
 def _(s, d):
-    return overview.top_groups(tenders(s, d), "body", 10)
+    return overview.top_groups(tenders(s, d, "body", "amount"), "body", 10)
 
 
 @query("recent_vs_previous_window", f"""SELECT count(*) FILTER (r) AS recent, count(*) FILTER (p) AS previous, coalesce(round(sum(amount) FILTER (r), 2), 0.0::DOUBLE) AS recent_amount,
@@ -87,13 +87,13 @@ def _(s, d):
 @query("p75_hot_today", f"""WITH p AS (SELECT round(quantile_cont(amount, 0.75), 4) AS p75 FROM @t)
   SELECT p75, count(*) FILTER (status = 'O' AND amount >= p75) AS hot, count(*) FILTER (published >= DATE '{NOW}' - 1) AS new, count(*) FILTER (status = 'O') AS open FROM t, p GROUP BY p75""")
 def _(s, d):
-    return overview.today(tenders(s, d), NOW, "O")
+    return overview.today(tenders(s, d, "amount", "status", "published"), NOW, "O")
 
 
 @query("award_indicators", """WITH g AS (SELECT company_id, sum(awarded) AS s FROM @a GROUP BY 1), h AS (SELECT round(sum(power(s / w * 100, 2)), 4) AS hhi, count(*) AS companies FROM (SELECT s, sum(s) OVER () AS w FROM g))
   SELECT hhi, companies, round(count(*) FILTER (bids = 1) / count(bids) * 100, 4) AS single_bid_pct, count(bids) AS with_bids, count(*) AS awards FROM a, h GROUP BY hhi, companies""")
 def _(s, d):
-    return overview.award_indicators(awards(s, d))
+    return overview.award_indicators(awards(s, d, "company_id", "awarded", "bids"))
 
 
 @query("period_compare", """WITH k AS (SELECT p, count(*)::DOUBLE AS n, round(sum(amount), 2) AS amount, round(avg(amount), 2) AS mean_amount, count(DISTINCT body_id)::DOUBLE AS bodies
@@ -136,12 +136,12 @@ def _(s, d):
 
 @query("trends_daily", "SELECT strftime(published, '%Y-%m-%d') AS bucket, count(*) AS n, round(sum(amount), 2) AS amount FROM @t GROUP BY 1")
 def _(s, d):
-    return trends.series(tenders(s, d), "day")
+    return trends.series(tenders(s, d, "published", "amount"), "day")
 
 
 @query("trends_weekly", "SELECT strftime(date_trunc('week', published), '%Y-%m-%d') AS bucket, count(*) AS n, round(sum(amount), 2) AS amount FROM @t GROUP BY 1")
 def _(s, d):
-    return trends.series(tenders(s, d), "week")
+    return trends.series(tenders(s, d, "published", "amount"), "week")
 
 
 @query("heatmap_month_status", "SELECT strftime(published, '%Y-%m') AS month, status, count(*) AS n FROM @t GROUP BY 1, 2")
@@ -153,7 +153,7 @@ def _(s, d):
   y AS (SELECT count(*) FILTER (a) AS n, count(*) FILTER (b) AS n_before, round(sum(amount) FILTER (a), 2) AS amount, round(sum(amount) FILTER (b), 2) AS amount_before FROM x)
   SELECT *, CASE WHEN n_before > 0 THEN round((n - n_before) / n_before * 100, 4) END AS change_pct FROM y""")
 def _(s, d):
-    return trends.year_over_year(tenders(s, d), NOW)
+    return trends.year_over_year(tenders(s, d, "published", "amount"), NOW)
 
 
 EDGES = [0.0, 1e3, 1e4, 5e4, 1e5, 2e5, 3e5, 5e5]
@@ -166,12 +166,12 @@ def _(s, d):
 
 @query("waterfall", "WITH m AS (SELECT strftime(date_trunc('month', published), '%Y-%m-%d') AS bucket, count(*) AS n FROM @t GROUP BY 1) SELECT bucket, n, n - lag(n, 1, 0) OVER (ORDER BY bucket) AS delta, CAST(sum(n) OVER (ORDER BY bucket) AS BIGINT) AS total FROM m")
 def _(s, d):
-    return trends.waterfall(trends.series(tenders(s, d), "month"))
+    return trends.waterfall(trends.series(tenders(s, d, "published", "amount"), "month"))
 
 
 @query("peak_month", "SELECT strftime(date_trunc('month', published), '%Y-%m-%d') AS bucket, count(*) AS n FROM @t GROUP BY 1 ORDER BY n DESC, bucket LIMIT 1")
 def _(s, d):
-    return trends.peak(trends.series(tenders(s, d), "month"))
+    return trends.peak(trends.series(tenders(s, d, "published", "amount"), "month"))
 
 
 @query("deadline_calendar", "SELECT strftime(published + INTERVAL 45 DAY, '%Y-%m-%d') AS due, count(*) AS n FROM @t WHERE CAST(published AS DATE) + 45 >= DATE '1996-01-01' AND CAST(published AS DATE) + 45 < DATE '1996-07-01' GROUP BY 1")
@@ -254,7 +254,7 @@ def _(s, d):
 @query("body_ranking_modal_kind", """WITH p AS (SELECT body, kind, count(*) AS k, sum(amount) AS m FROM @t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY kind IS NULL, k DESC, kind) AS rn FROM p)
   SELECT body, CAST(sum(k) AS BIGINT) AS n, round(sum(m), 2) AS amount, max(kind) FILTER (rn = 1) AS modal_kind FROM r GROUP BY 1 ORDER BY n DESC, body LIMIT 20""")
 def _(s, d):
-    return bodies.ranking(tenders(s, d), 20)
+    return bodies.ranking(tenders(s, d, "body", "kind", "amount"), 20)
 
 
 @query("body_treemap", """WITH p AS (SELECT body, kind, count(*) AS k, round(sum(amount), 2) AS amount FROM @t GROUP BY 1, 2), b AS (SELECT body FROM p GROUP BY 1 ORDER BY sum(k) DESC, body LIMIT 10) SELECT body, kind, amount FROM p WHERE body IN (FROM b) AND amount > 0""")
@@ -268,7 +268,7 @@ LEAD = """b AS (SELECT tender_id, max(struct_pack(w := awarded, d := awarded_on)
 
 @query("lead_time_median", f"WITH {LEAD} SELECT * FROM l")
 def _(s, d):
-    return bodies.lead_times(tenders(s, d), awards(s, d), "region")
+    return bodies.lead_times(tenders(s, d, "id", "published", "region"), awards(s, d, "tender_id", "awarded_on", "awarded"), "region")
 
 
 @query("expected_award", f"""WITH {LEAD} SELECT t.id, strftime(published::DATE + CAST(round(p50) AS INT), '%Y-%m-%d') AS expected, strftime(published::DATE + CAST(round(p25) AS INT), '%Y-%m-%d') AS earliest,
@@ -280,7 +280,7 @@ def _(s, d):
 
 @query("failure_rates_grouping_sets", """SELECT body, kind, CAST(grouping(kind) AS INT) AS all_kinds, count(*) AS n, count(*) FILTER (status = 'P') AS failed, round(count(*) FILTER (status = 'P') / count(*), 6) AS rate FROM @t GROUP BY GROUPING SETS ((body, kind), (body)) HAVING grouping(kind) = 1 OR kind IS NOT NULL""")
 def _(s, d):
-    return bodies.failure_rates(tenders(s, d), "P")
+    return bodies.failure_rates(tenders(s, d, "body", "kind", "status"), "P")
 
 
 @query("bodies_by_source", "SELECT body, count(*) FILTER (kind = '1-URGENT') AS n0, count(*) FILTER (kind = '5-LOW') AS n1 FROM @t GROUP BY 1")
@@ -302,7 +302,7 @@ DISC = "(budget - awarded) / budget"
 
 @query("discount_by_dimension", f"""SELECT brand, count(*) AS contracts, round(avg({DISC} * 100), 4) AS mean, round(min({DISC} * 100), 4) AS least, round(max({DISC} * 100), 4) AS most, round(sum(awarded), 4) AS amount, round(avg(bids), 4) AS bids FROM @a WHERE {PAIR} GROUP BY 1 HAVING count(*) >= 3""")
 def _(s, d):
-    return market.discounts(awards(s, d), "brand", 3)
+    return market.discounts(awards(s, d, "brand", "budget", "awarded", "bids"), "brand", 3)
 
 
 @query("discount_bias", f"""WITH p AS (SELECT tender_id, sum(budget) AS budget, sum(awarded) AS awarded FROM @a WHERE {PAIR} GROUP BY 1) SELECT (SELECT round(avg({DISC} * 100), 4) FROM a WHERE {PAIR}) AS per_award, round(avg({DISC} * 100), 4) AS per_tender FROM p""")
@@ -312,12 +312,12 @@ def _(s, d):
 
 @query("market_share", """WITH g AS (SELECT company, round(sum(awarded), 4) AS amount, count(*) AS contracts, round(avg(bids), 4) AS bids FROM @a WHERE starts_with(cpv, 'PROMO') GROUP BY 1) SELECT *, round(amount / sum(amount) OVER () * 100, 4) AS share FROM g ORDER BY amount DESC, company LIMIT 25""")
 def _(s, d):
-    return market.market_share(awards(s, d), c("cpv").startswith("PROMO"), 25)
+    return market.market_share(awards(s, d, "cpv", "company", "awarded", "bids"), c("cpv").startswith("PROMO"), 25)
 
 
 @query("hhi_by_segment", """WITH o AS (SELECT cpv, company_id, sum(awarded) AS s, count(*) AS k FROM @a GROUP BY 1, 2) SELECT cpv, CAST(sum(k) AS BIGINT) AS contracts, count(*) AS companies, round(sum(s * s) / (sum(s) * sum(s)) * 10000, 4) AS hhi FROM o GROUP BY 1 HAVING sum(k) >= 5""")
 def _(s, d):
-    return market.hhi(awards(s, d), "cpv", 5)
+    return market.hhi(awards(s, d, "cpv", "company_id", "awarded"), "cpv", 5)
 
 
 @query("competition_bands", """WITH p AS (SELECT tender_id, cpv, max(bids) AS b FROM @a GROUP BY 1, 2) SELECT cpv, count(*) AS tenders, round(avg(b), 4) AS bids, count(*) FILTER (b < 2) AS band_0, count(*) FILTER (b >= 2 AND b < 5) AS band_1, count(*) FILTER (b >= 5) AS band_2 FROM p GROUP BY 1 HAVING count(*) >= 3""")
@@ -360,7 +360,7 @@ PAIRS = "m AS (SELECT tender_id, company_id, sum(awarded) AS w FROM @a GROUP BY
 
 @query("pairs_co_award", f"WITH {PAIRS} SELECT x.company_id AS a, y.company_id AS b, count(*) AS n, round(sum(x.w + y.w), 4) AS amount FROM m x JOIN m y USING (tender_id) WHERE x.company_id < y.company_id GROUP BY 1, 2 HAVING count(*) >= 2")
 def _(s, d):
-    return market.partner_pairs(awards(s, d), 2)
+    return market.partner_pairs(awards(s, d, "tender_id", "company_id", "awarded"), 2)
 
 
 @query("joint_venture_candidates", "WITH g AS (SELECT tender_id, awarded_on, awarded, count(*) AS k, count(DISTINCT company_id) AS d FROM @a GROUP BY 1, 2, 3) SELECT count(*) FILTER (d > 1) AS candidates, CAST(coalesce(sum(k) FILTER (d > 1), 0) AS BIGINT) AS rows, CAST(sum(k) AS BIGINT) AS all_rows FROM g")
@@ -377,8 +377,8 @@ SCORE = f"""sb AS (SELECT segment, round(avg(bids), 4) AS bids FROM @a JOIN @t O
 
 @query("opportunity_score", f"WITH {SCORE} SELECT id, score, CASE WHEN score < 40 THEN 'low' WHEN score < 70 THEN 'medium' ELSE 'high' END AS band FROM sc")
 def _(s, d):
-    rows = tenders(s, d)
-    bids = awards(s, d).join(rows.select("id", "segment"), c("tender_id") == c("id")).groupBy("segment").agg(F.round(F.avg("bids"), 4).alias("bids"))
+    rows = tenders(s, d, "id", "segment", "status", "amount", "published")
+    bids = awards(s, d, "tender_id", "bids").join(rows.select("id", "segment"), c("tender_id") == c("id")).groupBy("segment").agg(F.round(F.avg("bids"), 4).alias("bids"))
     return market.opportunity_scores(rows, bids, NOW, WEIGHTS, "O")
 
 
@@ -416,7 +416,7 @@ def _(s, d):
 
 @query("lateral_latest", "SELECT tender_id, lot, company FROM (SELECT *, row_number() OVER (PARTITION BY tender_id ORDER BY awarded_on DESC, lot DESC, part_id DESC) AS rn FROM @a) WHERE rn = 1")
 def _(s, d):
-    return relational.latest_child(awards(s, d), "tender_id", ["awarded_on", "lot", "part_id"], ["lot", "company"])
+    return relational.latest_child(awards(s, d, "tender_id", "awarded_on", "lot", "part_id", "company"), "tender_id", ["awarded_on", "lot", "part_id"], ["lot", "company"])
 
 
 @query("predecessor_asof", "SELECT id, body_id, kind, lag(id) OVER w AS previous, lag(published) OVER w AS previous_at FROM @t WINDOW w AS (PARTITION BY body_id, kind ORDER BY published, id)")
@@ -454,7 +454,7 @@ def _(s, d):
 
 @query("distinct_on_canonical", "SELECT id, body_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY body_id, kind ORDER BY status DESC, published, id) AS rn FROM @t) WHERE rn = 1")
 def _(s, d):
-    return relational.canonical(tenders(s, d), ["body_id", "kind"], [F.desc("status"), F.asc("published"), F.asc("id")]).select("id", "body_id", "kind")
+    return relational.canonical(tenders(s, d, "id", "body_id", "kind", "status", "published"), ["body_id", "kind"], [F.desc("status"), F.asc("published"), F.asc("id")]).select("id", "body_id", "kind")
 
 
 @query("first_value_current_version", "SELECT id, body_id, first_value(kind) OVER (PARTITION BY body_id ORDER BY published DESC, id DESC) AS current FROM @t")
@@ -560,7 +560,7 @@ def _(s, d):
 
 
 def _edges(s: SparkSession, d: str) -> DataFrame:
-    return market.partner_pairs(awards(s, d), 3)
+    return market.partner_pairs(awards(s, d, "tender_id", "company_id", "awarded"), 3)
 
 
 @query("connected_components", f"""WITH RECURSIVE x AS MATERIALIZED (SELECT DISTINCT c_custkey AS a, (c_custkey * 7919) % 1009 + 1 AS b FROM customer WHERE c_custkey % 3 = 0),
@@ -639,7 +639,7 @@ def _(s, d):
 
 @query("anomaly_sigma", "WITH g AS (SELECT body_id, avg(amount) AS m, stddev_pop(amount) AS s, count(amount) AS k FROM @t GROUP BY 1) SELECT id, body_id, amount FROM t JOIN g USING (body_id) WHERE k >= 5 AND s > 0 AND amount > m + 2 * s")
 def _(s, d):
-    return evaluation.anomalies(tenders(s, d), "body_id", "amount", 2.0, 5)
+    return evaluation.anomalies(tenders(s, d, "id", "body_id", "amount"), "body_id", "amount", 2.0, 5)
 
 
 @query("publication_spike", "SELECT count(*) FILTER (d = DATE '1996-03-15') AS today, round(count(*) FILTER (d < DATE '1996-03-15' AND d >= DATE '1996-03-15' - 30) / 30, 6) AS mean, count(*) FILTER (d = DATE '1996-03-15') > 1.5 * count(*) FILTER (d < DATE '1996-03-15' AND d >= DATE '1996-03-15' - 30) / 30 AS is_spike FROM (SELECT published::DATE AS d FROM @t)")
