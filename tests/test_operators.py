@@ -214,3 +214,21 @@ def test_keyset_pages_descending_cover_all_rows_once(spark):
         seen += [r.id for r in page]
         after = (page[-1].v, page[-1].id)
     assert len(seen) == 20 and sorted(seen) == list(range(20))
+
+
+def test_components_of_a_long_cycle_in_any_order(spark):
+    """Paths of hundreds of nodes whose labels rise and fall; rounds must not follow their length."""
+    edges = [(i, i * 7919 % 1009 + 1) for i in range(1, 1010)] + [(5000 + i, 5001 + i) for i in range(300)]
+    top: dict[int, int] = {}
+
+    def root(x):
+        top.setdefault(x, x)
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        top[max(a, b)] = min(a, b)
+    out = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {(r.node, r.component) for r in out} == {(n, root(n)) for n in top}
