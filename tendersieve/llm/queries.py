@@ -18,6 +18,7 @@ from .quality_rules import quality_rules
 from .sharding import shard
 from .suffix_dedup import suffix_dedup
 from .token_files import digests, read_parts, write_tokens
+from .toxicity import toxicity
 from .url_filter import filter_urls
 
 
@@ -158,6 +159,13 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select(F.col("id").alias("doc_id"), "class_id")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the labels of rows whose remainder isn't 1; the others are held out."""
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
+    found = toxicity(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").where(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_sharding": op2_sharding,
@@ -169,6 +177,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_license_scan": op9_license_scan,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_toxicity": op11_toxicity,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
