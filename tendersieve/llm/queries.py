@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .audio import align
 from .common import scratch_dir
+from .conversations import conversation_key, damage, repair
+from .hard_negatives import hard_negatives
 from .license_scan import TEMPLATES, license_scan
 from .mixing import copies
 from .near_dedup import near_duplicates
@@ -166,6 +168,93 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+OP12_SQL = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.uid AS anchor, a.vec_id AS anchor_id, x.uid, x.vec_id, a.label = x.label AS same, CAST(list_inner_product(a.q, x.q) AS BIGINT) AS score
+  FROM v a JOIN v x ON a.uid <> x.uid AND a.vec_id % 100 = 0
+), p AS (
+  SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, uid) <= 5
+), n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, p.uid ORDER BY s.score DESC, s.vec_id NULLS LAST, s.uid) AS rank
+  FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report = repair(damage(turns)).report.drop("conv_id")
+    every = turns.select(conversation_key(F.col("conv_id")).alias("key"), "conv_id").groupBy("key").agg(F.min("conv_id").alias("conv_id"))
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    hash_ = F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return every.join(report, "key", "left").select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), hash_)
+
+
+#: A recursion over places: for each grammar state (0 at the start, 1 after s, 2 after u, 3 after a) the least (cost, audit, text).
+OP13_SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc
+), o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(regexp_extract_all(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '.'), lambda x: ascii(x)::BIGINT) AS marks FROM conversations
+), m AS (
+  SELECT o.* EXCLUDE (marks), xor(list_reduce(list_prepend(4294967295::BIGINT, marks), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS mark FROM o, tab
+), d AS (
+  SELECT conv_id, turn, CASE mark WHEN 4 THEN 'user' ELSE role END AS role, CASE mark WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE mark WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM m WHERE mark <> 0
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS place, left(role, 1) AS ini,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM d
+), f AS (
+  SELECT *, body = '' AS blank, body <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 AS dup,
+    lag(ini) OVER (PARTITION BY conv_id ORDER BY place) || ini AS pair FROM n
+), g AS (
+  SELECT *, NOT blank AND NOT dup AND right(body, 1) NOT IN ('.', '!', '?') AS cut FROM f
+), w AS (
+  SELECT conv_id, place, role, text, ini, blank OR dup AS bad, CASE WHEN cut THEN 5 ELSE 0 END AS extra FROM g
+), s AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS place, 0 AS state, 0 AS cost, '' AS audit, NULL::VARCHAR AS body FROM w
+  UNION ALL
+  SELECT conv_id, place, state, cost, audit, body FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) AS best FROM (
+      SELECT i.conv_id, w.place, e.state, i.cost + e.cost AS cost, i.audit || e.edit AS audit, CASE WHEN e.line IS NULL THEN i.body ELSE coalesce(i.body || chr(10), '') || e.line END AS body
+      FROM (
+        SELECT conv_id, place, state, cost, audit, body FROM s
+        UNION ALL SELECT conv_id, place, CASE state WHEN 2 THEN 3 ELSE 2 END, cost + 5, audit || 'I', coalesce(body || chr(10), '') || CASE state WHEN 2 THEN 'assistant:' ELSE 'user:' END FROM s
+        UNION ALL SELECT conv_id, place, CASE state WHEN 2 THEN 2 ELSE 3 END, cost + 10, audit || 'II', coalesce(body || chr(10), '') || CASE state WHEN 2 THEN 'assistant:' || chr(10) || 'user:' ELSE 'user:' || chr(10) || 'assistant:' END FROM s
+      ) i JOIN w ON w.conv_id IS NOT DISTINCT FROM i.conv_id AND w.place = i.place + 1,
+      LATERAL (
+        SELECT i.state AS state, 2 AS cost, 'D' AS edit, NULL::VARCHAR AS line
+        UNION ALL SELECT CASE w.ini WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, w.extra, 'K', w.role || ':' || w.text
+          WHERE NOT w.bad AND ((w.ini = 's' AND i.state = 0) OR (w.ini = 'u' AND i.state <> 2) OR (w.ini = 'a' AND i.state = 2))
+        UNION ALL SELECT CASE i.state WHEN 2 THEN 3 ELSE 2 END, 1 + w.extra, 'R', CASE i.state WHEN 2 THEN 'assistant:' ELSE 'user:' END || w.text WHERE NOT w.bad
+      ) e
+    )
+  ) WHERE best = 1
+), z AS (
+  SELECT conv_id, min(struct_pack(cost := s.cost + CASE state WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END, audit := audit || CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+    body := CASE state WHEN 1 THEN coalesce(body || chr(10), '') || 'user:' || chr(10) || 'assistant:' WHEN 2 THEN coalesce(body || chr(10), '') || 'assistant:' ELSE coalesce(body, '') END)) AS x
+  FROM s JOIN (SELECT conv_id AS c, max(place) AS final FROM w GROUP BY 1) ON conv_id IS NOT DISTINCT FROM c AND place = final GROUP BY conv_id
+), r AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(x.cost, 0) AS BIGINT) AS cost, coalesce(x.audit, '') AS audit, sha256(coalesce(x.body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN r ON o.conv_id IS NOT DISTINCT FROM r.conv_id LEFT JOIN z ON o.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_sharding": op2_sharding,
@@ -178,7 +267,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_toxicity": op11_toxicity,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op4_mixing": OP4_SQL, "op9_license_scan": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": OP1_SQL, "op4_mixing": OP4_SQL, "op9_license_scan": OP9_SQL, "op12_hard_negatives": OP12_SQL, "op13_conversation_repair": OP13_SQL,
+}
