@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tendersieve.functions import scalars as S
-from tendersieve import more_queries as more_queries
+from tendersieve import more_queries as more_queries, search_queries as search_queries
 from tendersieve.operators import bodies, evaluation, graph, labels, market, overview, relational, text, trends
 from tendersieve.plans.domain import awards, places, table, tenders
 from tendersieve.plans.scope import TenderFilter
