@@ -236,7 +236,7 @@ def _centroids(sample: np.ndarray, lists: int, rounds: int) -> np.ndarray:
         far = np.minimum(far, ((sample - sample[at[-1]]) ** 2).sum(axis=1))
         at.append(int(far.argmax()))
     centres = sample[at]
-    for _ in range(rounds):
+    for _ in range(rounds if len(sample) else 0):
         near = (sample @ centres.T).argmax(axis=1)
         for k in range(len(centres)):
             total = sample[near == k].sum(axis=0)
