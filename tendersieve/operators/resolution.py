@@ -114,9 +114,9 @@ def resolve(rows: DataFrame, registry: DataFrame, least: float = 0.92) -> DataFr
     with one tax id or name the least is meant; of several similar names the most similar, the last by text. Repeated
     ids are rows of their own and come in order of name.
     """
-    tax = S.tax_id(c("tax"))
-    tax = F.when(S.tax_id_class(c("tax")) != "invalid", tax)
-    own = cut(rows.select("id", S.company_name(F.coalesce("name", F.lit(""))).alias("alias"), tax.alias("tax"), F.monotonically_increasing_id().alias("row")), "rows")
+    # written between, as one expression of both is too long to be compiled
+    own = cut(rows.select("id", S.company_name(F.coalesce("name", F.lit(""))).alias("alias"), S.tax_id(c("tax")).alias("tax"), F.monotonically_increasing_id().alias("row")), "rows")
+    own = cut(own.withColumn("tax", F.when(S.tax_id_class(c("tax")) != "invalid", c("tax"))), "rows")
     place = F.struct("id", F.coalesce("alias", F.lit("")), "row")
     by_tax = registry.where("tax is not null").groupBy("tax").agg(F.min("company_id").alias("tax_company"))
     main = registry.where("alias is not null").groupBy("alias").agg(F.min("company_id").alias("alias_company"))
