@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tendersieve.functions.scalars import company_name, fold
+from tendersieve.operators.clusters import class_terms, cluster, features, summaries
 from tendersieve.operators.resolution import resolve, similar_names
+from tendersieve.operators.text import MARKERS
 from tendersieve.plans.domain import table
 from tendersieve.registry import query
 from tendersieve.search_queries import WORDS
@@ -48,3 +50,29 @@ def award_parties(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query("resolve_companies")
 def _(s: SparkSession, d: str) -> DataFrame:
     return resolve(*award_parties(s, d))
+
+
+# -- clusters of texts ----------------------------------------------------------------------------
+
+STOP = tuple(sorted({w for words in MARKERS.values() for w in words}))
+_STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
+
+
+@query("class_terms", rf"""WITH w AS (SELECT coalesce(lang, '') AS lang, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 4 AND NOT list_contains({_STOP_SQL}, x)) AS ws FROM documents),
+  g AS (SELECT lang, unnest(list_concat(ws, list_transform(range(1, greatest(len(ws), 1)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w), k AS (SELECT lang, term, count(*) AS k FROM g GROUP BY 1, 2),
+  t AS (SELECT term, count(*) AS df FROM k GROUP BY 1 ORDER BY sum(k) DESC, term LIMIT 5000)
+  SELECT lang, term, round((1 + ln(k)) * (ln((1.0 + (SELECT count(DISTINCT lang) FROM w)) / (1 + df)) + 1), 9) AS weight, CAST(row_number() OVER (PARTITION BY lang ORDER BY weight DESC, term) AS INT) AS place FROM k JOIN t USING (term) QUALIFY place <= 3""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents").select(F.coalesce("lang", F.lit("")).alias("class"), "text")
+    return class_terms(docs, STOP).withColumnRenamed("class", "lang")
+
+
+@query("document_clusters")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """All documents in three to eight clusters, whichever number has the greatest silhouette."""
+    docs = table(s, d, "documents").select(c("doc_id").alias("key"), "text", "lang", "source", "n_chars")
+    vectors, _ = features(docs.select("key", "text"), STOP)
+    found = cluster(vectors, range(3, 9))
+    terms = class_terms(docs.join(found.rows, "key").select(c("cluster").alias("class"), "text"), STOP)
+    silhouette = F.lit(round(found.silhouettes.get(found.k, 0.0), 6)).alias("silhouette")
+    return summaries(docs.drop("text"), found.rows, terms, "n_chars", ["lang", "source"]).select("*", silhouette)
