@@ -60,8 +60,8 @@ _STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
 
 @query("class_terms", rf"""WITH w AS (SELECT coalesce(lang, '') AS lang, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 4 AND NOT list_contains({_STOP_SQL}, x)) AS ws FROM documents),
   g AS (SELECT lang, unnest(list_concat(ws, list_transform(range(1, greatest(len(ws), 1)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w), k AS (SELECT lang, term, count(*) AS k FROM g GROUP BY 1, 2),
-  t AS (SELECT term, count(*) AS df FROM k GROUP BY 1 ORDER BY sum(k) DESC, term LIMIT 5000)
-  SELECT lang, term, round((1 + ln(k)) * (ln((1.0 + (SELECT count(DISTINCT lang) FROM w)) / (1 + df)) + 1), 9) AS weight, CAST(row_number() OVER (PARTITION BY lang ORDER BY weight DESC, term) AS INT) AS place FROM k JOIN t USING (term) QUALIFY place <= 3""")
+  t AS (SELECT term, count(*) AS df FROM k GROUP BY 1 ORDER BY sum(k) DESC, term LIMIT 5000), n AS (SELECT count(DISTINCT lang) AS classes FROM w)
+  SELECT lang, term, round((1 + ln(k)) * (ln((1.0 + classes) / (1 + df)) + 1), 9) AS weight, CAST(row_number() OVER (PARTITION BY lang ORDER BY weight DESC, term) AS INT) AS place FROM k JOIN t USING (term), n QUALIFY place <= 3""")
 def _(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").select(F.coalesce("lang", F.lit("")).alias("class"), "text")
     return class_terms(docs, STOP).withColumnRenamed("class", "lang")
