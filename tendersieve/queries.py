@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tendersieve.functions import scalars as S
-from tendersieve import entity_queries as entity_queries, more_queries as more_queries, search_queries as search_queries, signal_queries as signal_queries, snapshot_queries as snapshot_queries
+from tendersieve import entity_queries as entity_queries, model_queries as model_queries, more_queries as more_queries, search_queries as search_queries, signal_queries as signal_queries, snapshot_queries as snapshot_queries
 from tendersieve.operators import bodies, evaluation, graph, labels, market, overview, relational, text, trends
 from tendersieve.operators.louvain import louvain
 from tendersieve.plans.domain import awards, places, table, tenders
