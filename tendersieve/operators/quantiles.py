@@ -1,7 +1,7 @@
 """Discount quantiles by a tree on histogram bins with pinball loss, and how well intervals hold in a later period.
 
 Rows are coded once: each feature as a bin, the target as one of its quantile bins. A level of the tree needs the numbers of
-rows by (leaf, feature, bin, target bin), whose size depends on the tree and the bins alone and never on the rows; the driver
+rows by (leaf, feature, bin, target bin, half), whose size depends on the tree and the bins alone and never on the rows; the driver
 picks each leaf's best cut from them. Leaves get the quantiles of their own rows by a mergeable sketch.
 """
 
@@ -30,16 +30,19 @@ def _code(rows: DataFrame, feature: str, bins: int) -> Column:
     return F.when(c(feature).isNull(), 0).otherwise(F.coalesce(*[F.when(c(feature) == v, i) for i, v in enumerate(common, 1)], F.lit(len(common) + 1)))
 
 
-def _losses(hist: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Least pinball loss, summed over the quantiles, of each row of target counts (rows x target bins)."""
-    n = hist.sum(axis=1)
+def _points(hist: np.ndarray) -> np.ndarray:
+    """The target bin of each quantile (rows x quantiles) for rows of target counts."""
+    n, below = hist.sum(axis=1), np.cumsum(hist, axis=1)
+    return np.stack([np.minimum((below < q * n[:, None]).sum(axis=1), hist.shape[1] - 1) for q in QUANTILES], axis=1)
+
+
+def _losses(hist: np.ndarray, values: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Pinball loss of each row of target counts, summed over the quantiles, if they are foretold at ``points``."""
     below, weighed = np.cumsum(hist, axis=1), np.cumsum(hist * values, axis=1)
-    total = np.zeros(len(hist))
-    for q in QUANTILES:
-        at = np.minimum((below < q * n[:, None]).sum(axis=1), len(values) - 1)
-        i = np.arange(len(hist))
+    i, total = np.arange(len(hist)), np.zeros(len(hist))
+    for q, at in zip(QUANTILES, points.T, strict=True):
         x = values[at]
-        total += q * (weighed[i, -1] - weighed[i, at] - x * (n - below[i, at])) + (1 - q) * (x * below[i, at] - weighed[i, at])
+        total += q * (weighed[i, -1] - weighed[i, at] - x * (below[i, -1] - below[i, at])) + (1 - q) * (x * below[i, at] - weighed[i, at])
     return total
 
 
@@ -66,8 +69,9 @@ class QuantileTree:
         return held.select(*rows.columns, *values)
 
 
-def fit_tree(rows: DataFrame, target: str, features: list[str], *, depth: int = 3, bins: int = 32, target_bins: int = 64, least: int = 200, gain: float = 0.01) -> QuantileTree:
-    """A tree of at most ``depth`` cuts a way whose leaves hold at least ``least`` rows; a cut must lower its leaf's loss by the share ``gain``.
+def fit_tree(rows: DataFrame, target: str, features: list[str], *, depth: int = 3, bins: int = 32, target_bins: int = 64, least: int = 200, gain: float = 0.03) -> QuantileTree:
+    """A tree of at most ``depth`` cuts a way whose leaves hold at least ``least`` rows; a cut found in one half of the
+    rows must lower the loss of the other half in its leaf by the share ``gain``.
 
     Rows without the target take no part; unknown values of a feature go where rare ones do, null where the least go. Without rows
     the tree predicts null.
@@ -76,7 +80,8 @@ def fit_tree(rows: DataFrame, target: str, features: list[str], *, depth: int =
     tree = QuantileTree({f: _code(known, f, bins) for f in features})
     edges = sorted(set(known.agg(F.percentile_approx("target__", [i / target_bins for i in range(1, target_bins)], ACCURACY).alias("q")).first()["q"] or []))
     ybin = sum((F.when(c("target__") > x, 1).otherwise(0) for x in edges), F.lit(0))
-    coded = cut(known.select("target__", ybin.alias("y"), *[tree.codes[f].alias(f"code_{f}") for f in features]), "coded")
+    half = F.pmod(F.xxhash64("target__", *features), F.lit(2)).cast("int").alias("half")
+    coded = cut(known.select("target__", ybin.alias("y"), half, *[tree.codes[f].alias(f"code_{f}") for f in features]), "coded")
     means = {r["y"]: r["m"] for r in coded.groupBy("y").agg(F.avg("target__").alias("m")).collect()}
     if not means:
         return tree
@@ -86,20 +91,26 @@ def fit_tree(rows: DataFrame, target: str, features: list[str], *, depth: int =
         each = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), c(f"code_{f}").alias("b")) for f in features]))
         held = coded.withColumn("leaf", tree.leaf(coded=True)).where(c("leaf").isin(*open_))
         hist: dict[tuple[int, str], np.ndarray] = {}
-        for r in held.select("leaf", "y", each.alias("x")).groupBy("leaf", "x.f", "x.b", "y").agg(F.count("*").alias("n")).collect():
-            hist.setdefault((r["leaf"], r["f"]), np.zeros((bins + 2, len(values))))[r["b"], r["y"]] += r["n"]
+        for r in held.select("leaf", "y", "half", each.alias("x")).groupBy("leaf", "x.f", "x.b", "y", "half").agg(F.count("*").alias("n")).collect():
+            hist.setdefault((r["leaf"], r["f"]), np.zeros((2, bins + 2, len(values))))[r["half"], r["b"], r["y"]] += r["n"]
         best: dict[int, tuple[float, str, int]] = {}
-        for (leaf, feature), counts in sorted(hist.items()):
-            left = np.cumsum(counts, axis=0)[:-1]
-            right = counts.sum(axis=0) - left
-            whole = _losses(counts.sum(axis=0)[None, :], values)[0]
-            fits = np.flatnonzero((left.sum(axis=1) >= least) & (right.sum(axis=1) >= least))
+        for (leaf, feature), (one, other) in sorted(hist.items()):
+            whole = one.sum(axis=0)[None, :]
+            left = np.cumsum(one, axis=0)[:-1]
+            left_other = np.cumsum(other, axis=0)[:-1]
+            n_left, n = left.sum(axis=1) + left_other.sum(axis=1), one.sum() + other.sum()
+            fits = np.flatnonzero((n_left >= least) & (n - n_left >= least))
             if not len(fits):
                 continue
-            saved = whole - _losses(left[fits], values) - _losses(right[fits], values)
+            points = [_points(x) for x in (left[fits], whole - left[fits], whole)]
+            saved = _losses(whole, values, points[2])[0] - _losses(left[fits], values, points[0]) - _losses(whole - left[fits], values, points[1])
             k = int(np.argmax(np.round(saved, 9)))
-            if saved[k] > gain * whole and saved[k] > best.get(leaf, (0.0,))[0] + 1e-9:
-                best[leaf] = (float(saved[k]), feature, int(fits[k]))
+            # the cut of one half of the rows must also foretell the other half better
+            rest, part = other.sum(axis=0)[None, :], left_other[fits[k]][None, :]
+            before = _losses(rest, values, points[2])[0]
+            after = _losses(part, values, points[0][k][None, :])[0] + _losses(rest - part, values, points[1][k][None, :])[0]
+            if before - after > gain * before and before - after > best.get(leaf, (0.0,))[0] + 1e-9:
+                best[leaf] = (float(before - after), feature, int(fits[k]))
         for leaf, (_, feature, last) in best.items():
             tree.splits[leaf] = (feature, last)
         open_ = {child for leaf in best for child in (2 * leaf, 2 * leaf + 1)}
