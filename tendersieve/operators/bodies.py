@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .overview import by_group, cents, count_if
+from .percentiles import percentiles
 
 c = F.col
 
@@ -33,8 +34,7 @@ def lead_times(tenders: DataFrame, awards: DataFrame, key: str) -> DataFrame:
     best = awards.groupBy("tender_id").agg(F.max_by("awarded_on", F.struct("awarded", "awarded_on")).alias("on"))
     days = F.floor((F.unix_seconds(c("on").cast("timestamp")) - F.unix_seconds(c("published").cast("timestamp"))) / 86400)
     rows = tenders.join(best, c("id") == c("tender_id")).withColumn("days", days.cast("double")).where("days >= 0")
-    p = F.percentile("days", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rows.groupBy(key).agg(F.count("*").alias("n"), p.alias("p")).select(key, "n", c("p")[0].alias("p25"), c("p")[1].alias("p50"), c("p")[2].alias("p75"))
+    return percentiles(rows.select(key, "days"), [key], "days", [0.25, 0.5, 0.75], most=tenders.count()).select(key, "n", c("p")[0].alias("p25"), c("p")[1].alias("p50"), c("p")[2].alias("p75"))
 
 
 def expected_award(tenders: DataFrame, stats: DataFrame, key: str) -> DataFrame:

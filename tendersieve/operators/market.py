@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tendersieve.functions.scalars import band, competition_band, discount, urgency, valid_pair
 
 from .overview import cents, count_if
+from .percentiles import percentiles
 
 c = F.col
 
@@ -103,7 +104,7 @@ def opportunity_scores(tenders: DataFrame, bids: DataFrame, now: str, weights: d
     ``bids`` has (segment, bids); parts without data count half. Bands: low, medium, high.
     """
     rows = tenders.where(c("status") == open_status)
-    p = rows.agg(F.percentile("amount", F.array(F.lit(0.1), F.lit(0.9))).alias("p"))
+    p = percentiles(rows, [], "amount", [0.1, 0.9]).select("p")
     clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     rows = rows.crossJoin(p).join(bids, "segment", "left").withColumn("days", F.datediff(F.date_add("published", 60), F.lit(now).cast("date")))
     amount = F.when(c("p")[1] > c("p")[0], clamp((c("amount") - c("p")[0]) / (c("p")[1] - c("p")[0])))
@@ -120,6 +121,5 @@ def price_cohort(awards: DataFrame, company_or_cpv: list[tuple[str, Column]], le
     rows = awards.withColumn("d", d).where("d is not null")
     level = F.array(*[F.struct(F.lit(i).alias("level"), F.lit(name).alias("cohort"), when.alias("in")) for i, (name, when) in enumerate(company_or_cpv)])
     each = rows.select("d", F.explode(level).alias("x")).where("x.in").select("d", "x.level", "x.cohort")
-    p = F.percentile("d", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    found = each.groupBy("level", "cohort").agg(F.count("*").alias("n"), p.alias("p")).where(c("n") >= least).orderBy("level").limit(1)
+    found = percentiles(each, ["level", "cohort"], "d", [0.25, 0.5, 0.75]).where(c("n") >= least).orderBy("level").limit(1)
     return found.select("cohort", "n", *[F.round(c("p")[i], 6).alias(f"p{q}") for i, q in enumerate((25, 50, 75))])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tendersieve.functions.scalars import pct_delta
+from tendersieve.operators.percentiles import percentiles
 from tendersieve.sources.files import cut
 
 c = F.col
@@ -60,7 +61,7 @@ def cancel_rate(tenders: DataFrame, status: str, since: str) -> DataFrame:
 
 def today(tenders: DataFrame, now: str, open_status: str) -> DataFrame:
     """Open tenders at or above the scope's 75th percentile of amounts, those of the last day, and the threshold."""
-    p75 = tenders.agg(F.round(F.percentile("amount", 0.75), 4).alias("p75"))
+    p75 = percentiles(tenders, [], "amount", [0.75]).select(F.round(c("p")[0], 4).alias("p75"))
     day = F.date_sub(F.lit(now).cast("timestamp"), 1)
     open_ = c("status") == open_status
     return tenders.crossJoin(p75).groupBy("p75").agg(count_if(open_ & (c("amount") >= c("p75"))).alias("hot"), count_if(c("published") >= day).alias("new"), count_if(open_).alias("open"))

@@ -33,7 +33,7 @@ def test_losses_are_the_least_pinball_losses():
 
 def test_tree_finds_what_matters_and_its_band_holds(spark):
     df = spark.createDataFrame(made(), SCHEMA)
-    tree = Q.fit_tree(df, "y", ["kind", "size", "noise"], least=50)
+    tree = Q.fit_tree(df, "y", ["kind", "size", "noise"], depth=4, least=50)
     assert {f for f, _ in tree.splits.values()} == {"kind", "size"}
     later = tree.predict(spark.createDataFrame(made(seed=9), SCHEMA))
     row = Q.coverage(later, "y").first()
