@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tendersieve.operators.allotment import draw, split
 from tendersieve.operators.classifier import grid_counts, later_share, train, tune_threshold
 from tendersieve.operators.evaluation import calibration_error
 from tendersieve.operators.quantiles import coverage, fit_tree, paired_error
-from tendersieve.plans.domain import awards, table
+from tendersieve.plans.domain import awards, table, tenders
 from tendersieve.registry import query
 
 c = F.col
@@ -63,3 +64,18 @@ def _(s: SparkSession, d: str) -> DataFrame:
     middle = early.agg(F.percentile_approx("discount", 0.5, 10_000).alias("m")).first()["m"]
     told = tree.predict(late).withColumn("median", F.lit(middle))
     return coverage(told, "discount").crossJoin(paired_error(told, "discount", "median", "p50").drop("n")).withColumn("leaves", F.lit(len(tree.leaves)))  # one row each
+
+
+# -- samples --------------------------------------------------------------------------------------
+
+
+@query("stratified_draw")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """300 tenders over strata of kind and status (a sampling operator)."""
+    return draw(tenders(s, d, "id", "kind", "status"), F.concat_ws("/", "kind", "status"), "id", 300)
+
+
+@query("stable_split", "SELECT CASE WHEN doc_id % 10 = 0 THEN 'holdout' WHEN CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 2) AS INT) % 2 = 0 THEN 'tune' ELSE 'holdout' END AS half, lang, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY ALL")
+def _(s: SparkSession, d: str) -> DataFrame:
+    half = split(c("doc_id"), F.when(c("doc_id") % 10 == 0, "holdout"))
+    return table(s, d, "documents").groupBy(half.alias("half"), "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
