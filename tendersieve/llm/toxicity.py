@@ -153,7 +153,7 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     steps: list[list[float]] = []  # sum, size, greatest x
     for top, total, size in zip(at, np.bincount(group, y), np.bincount(group), strict=True):
         steps.append([total, size, top])
-        while len(steps) > 1 and steps[-2][0] * steps[-1][1] > steps[-1][0] * steps[-2][1]:
+        while len(steps) > 1 and steps[-2][0] * steps[-1][1] >= steps[-1][0] * steps[-2][1]:
             total, size, top = steps.pop()
             steps[-1] = [steps[-1][0] + total, steps[-1][1] + size, top]
     return np.array([s[2] for s in steps]), np.maximum.accumulate([(s[0] + 0.5) / (s[1] + 1) for s in steps])
