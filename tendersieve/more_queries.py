@@ -263,7 +263,7 @@ def _(s, d):
 
 
 @query("bootstrap_average_precision", """WITH d AS (SELECT r, l_quantity AS score, (l_returnflag = 'R')::INT AS y, CAST('0x' || substr(md5('5:' || r || ':' || (l_orderkey * 10 + l_linenumber)), 1, 6) AS BIGINT) / 16777216 AS u FROM lineitem, (SELECT unnest(range(1, 21)) AS r)),
-  k AS (SELECT r, score, y, CASE WHEN u < 0.367879 THEN 0 WHEN u < 0.735759 THEN 1 WHEN u < 0.919699 THEN 2 WHEN u < 0.981012 THEN 3 ELSE 4 END AS k FROM d), g AS (SELECT r, score, sum(k * y) AS h, sum(k) AS n FROM k WHERE k > 0 GROUP BY 1, 2),
+  k AS (SELECT r, score, y, CASE WHEN u < 0.367879 THEN 0 WHEN u < 0.735759 THEN 1 WHEN u < 0.919699 THEN 2 WHEN u < 0.981012 THEN 3 WHEN u < 0.996340 THEN 4 WHEN u < 0.999406 THEN 5 WHEN u < 0.999917 THEN 6 WHEN u < 0.999990 THEN 7 WHEN u < 0.999999 THEN 8 ELSE 9 END AS k FROM d), g AS (SELECT r, score, sum(k * y) AS h, sum(k) AS n FROM k WHERE k > 0 GROUP BY 1, 2),
   w AS (SELECT r, h, sum(h) OVER (PARTITION BY r ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY r ORDER BY score DESC) AS seen, sum(h) OVER (PARTITION BY r) AS p FROM g), a AS (SELECT r, sum(h / p * tp / seen) AS ap FROM w GROUP BY 1)
   SELECT round(quantile_cont(ap, 0.025), 6) AS low, round(quantile_cont(ap, 0.975), 6) AS high, count(*) AS resamples FROM a""")
 def _(s, d):

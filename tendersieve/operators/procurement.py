@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tendersieve.functions.scalars import easter, fold, inverse_price_points, is_business_day, proportional_points, stepped_points
+from tendersieve.sources.files import cut
 
 c = F.col
 
@@ -26,13 +27,16 @@ def appeal_deadlines(tenders: DataFrame, days: int = 15) -> DataFrame:
 
     A type with a known threshold, a value above it, a place outside the region with rules of its own, and
     a tender notice among the notices without a prior one, whose date the publication's would be.
+    The calendar reaches from the first publication in question to well past the last.
     """
     notices = F.transform(F.split("notices", ","), F.trim)
     threshold = F.try_element_at(F.create_map(*[F.lit(x) for pair in APPEAL_ABOVE.items() for x in pair]), c("type"))
     can = (c("value") > threshold) & ~F.coalesce(F.startswith(F.upper("nuts"), F.lit("ES22")), F.lit(False))
     can &= F.array_contains(notices, "DOC_CN") & ~F.exists(notices, lambda x: F.startswith(x, F.lit("DOC_PIN")))
-    calendar = business_deadlines(tenders.sparkSession, days)
-    return tenders.where(can).withColumn("day", c("published").cast("date")).join(calendar, "day").drop("day")
+    open_ = tenders.where(can).withColumn("day", c("published").cast("date"))
+    first, last = open_.agg(F.min("day"), F.date_add(F.max("day"), 4 * days + 60)).first()
+    calendar = business_deadlines(tenders.sparkSession, days, str(first or "2000-01-01"), str(last or "2000-12-31"))
+    return open_.join(calendar, "day").drop("day")
 
 
 def price_points(bids: DataFrame, most: float, steps: list[tuple[float, float]], reckless: float) -> DataFrame:
@@ -167,39 +171,48 @@ def search(docs: DataFrame, every: list[str], any_: list[str], none: list[str],
 
 def reckless_cuts(awards: DataFrame, percent: float) -> DataFrame:
     """Awards whose price cut is at least so many percent; both amounts must be positive."""
-    cut = F.round((1 - c("awarded") / c("budget")) * 100, 4)
-    return awards.where((c("budget") > 0) & (c("awarded") > 0) & (cut >= percent)).select("tender_id", "lot", cut.alias("cut_percent"))
+    percent_off = F.round((1 - c("awarded") / c("budget")) * 100, 4)
+    return awards.where((c("budget") > 0) & (c("awarded") > 0) & (percent_off >= percent)).select("tender_id", "lot", percent_off.alias("cut_percent"))
 
 
 def cohort_levels(targets: DataFrame, history: DataFrame, least: int) -> DataFrame:
     """(id, level, n): the first of seven cohorts of at least ``least`` past awards, else the first with any.
 
     Both sides have body, code, size (a band of amounts) and competition; the levels loosen from all four to none.
-    Counts are aggregates by level and key; every target looks up one row a level, so history is never paired with it.
+    Counts are aggregates by level and key, written before the join so that a key of very many targets can be split; every
+    target looks up one row a level, so history is never paired with it. The last level is one number for all.
     """
-    levels = (("body", "code", "size", "competition"), ("body", "code", "size"), ("code", "size", "competition"), ("code", "size"), ("code",), ("size",), ())
+    levels = (("body", "code", "size", "competition"), ("body", "code", "size"), ("code", "size", "competition"), ("code", "size"), ("code",), ("size",))
     names = ("body", "code", "size", "competition")
 
     def keyed(rows: DataFrame, *extra: str) -> DataFrame:
-        usable = [F.when(F.lit(True) if not ks else ~sum((c(k).isNull().cast("int") for k in ks), F.lit(0)).cast("boolean"), F.struct(F.lit(i).alias("level"), F.xxhash64(F.lit(i), *[c(k) for k in ks]).alias("cohort"))) for i, ks in enumerate(levels, 1)]
+        usable = [F.when(~sum((c(k).isNull().cast("int") for k in ks), F.lit(0)).cast("boolean"), F.struct(F.lit(i).alias("level"), F.xxhash64(F.lit(i), *[c(k) for k in ks]).alias("cohort"))) for i, ks in enumerate(levels, 1)]
         return rows.select(*extra, F.explode(F.array_compact(F.array(*usable))).alias("x")).select(*extra, "x.*")
 
-    counts = keyed(history.select(*names)).groupBy("level", "cohort").agg(F.count("*").alias("n"))
+    counts = cut(keyed(history.select(*names)).groupBy("level", "cohort").agg(F.count("*").alias("n")), "counts")
     found = keyed(targets.select("id", *names), "id").join(counts, ["level", "cohort"])
+    total = history.count()
+    every = F.struct(F.lit(len(levels) + 1).alias("level"), F.lit(total).cast("long").alias("n"))
     best = found.groupBy("id").agg(F.min(F.when(c("n") >= least, F.struct("level", "n"))).alias("enough"), F.min(F.struct("level", "n")).alias("any"))
-    return best.select("id", F.coalesce("enough", "any").alias("x")).select("id", "x.level", "x.n")
+    best = targets.select("id").distinct().join(best, "id", "left")
+    chosen = F.coalesce("enough", F.when(F.lit(total >= least), every), "any", F.when(F.lit(total > 0), every))
+    return best.select("id", chosen.alias("x")).where("x is not null").select("id", "x.level", "x.n")
+
+
+#: Shares of a Poisson variable of mean 1 that are at most 0, 1, 2, ...
+POISSON = (0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917, 0.999990, 0.999999)
 
 
 def bootstrap_precision(points: DataFrame, replicates: int, seed: int) -> DataFrame:
     """(low, high): 2.5 and 97.5 % of the average precision over resamples of (id, score, truth).
 
-    A row counts in a resample as often as a Poisson variable of mean 1 says (0 to 4, from a digest of seed,
-    resample and id), which is how sampling with replacement looks in large tables and needs no draw by rank.
+    A row counts in a resample as often as a Poisson variable of mean 1 says (0 to 9, as far as 24 bits of a digest of seed,
+    resample and id tell), which is how sampling with replacement looks in large tables and needs no draw by rank.
     Scores are grouped first: windows run over the distinct scores of a resample.
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), c("r").cast("string"), c("id").cast("string")))
     u = F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") / (1 << 24)
-    times = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).otherwise(4)
+    times = F.coalesce(*[F.when(u < x, k) for k, x in enumerate(POISSON)], F.lit(len(POISSON)))
     drawn = points.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("k", times).where("k > 0")
     g = drawn.groupBy("r", "score").agg(F.sum(c("k") * c("truth")).alias("hits"), F.sum("k").alias("n"))
     steps = g.selectExpr("r", "hits", "sum(hits) OVER (PARTITION BY r ORDER BY score DESC) AS tp", "sum(n) OVER (PARTITION BY r ORDER BY score DESC) AS seen", "sum(hits) OVER (PARTITION BY r) AS positives")
