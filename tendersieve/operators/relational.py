@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tendersieve.sources.files import cut
+
 c = F.col
 
 
@@ -71,16 +73,24 @@ def parity(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
+def _beside(rows: DataFrame, per: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with what ``per`` has for their keys, null keys alike; ``per`` is written first, so that rows of a hot key can be split."""
+    own = {k: f"{k}__per" for k in keys}
+    told = cut(per.withColumnsRenamed(own), "per")
+    on = reduce(lambda a, b: a & b, [c(k).eqNullSafe(c(o)) for k, o in own.items()])
+    return rows.join(told, on).drop(*own.values())
+
+
 def canonical(rows: DataFrame, keys: list[str], prefer: list[Column]) -> DataFrame:
-    """One row of each group of duplicates, by preference."""
+    """One row of each group of duplicates, by preference. Only the first is asked for: each task keeps one a group before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*prefer)
     return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
 def current_version(rows: DataFrame, keys: list[str], newest: list[Column], value: str) -> DataFrame:
     """All rows with the newest version's value of their group."""
-    w = Window.partitionBy(*keys).orderBy(*newest).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.withColumn("current", F.first(value).over(w))
+    first = canonical(rows, keys, newest).select(*keys, c(value).alias("current"))
+    return _beside(rows, first, keys)
 
 
 def exact_then_like(rows: DataFrame, id_: str, name: str, term: str, n: int) -> DataFrame:
@@ -97,7 +107,9 @@ def total_beside(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
 
 def duplicates(rows: DataFrame, sure: list[str], maybe: list[str], id_: str) -> DataFrame:
     """(id, canonical, status, score): same ``sure`` keys confirm a duplicate of the least id, same ``maybe`` keys leave it pending."""
-    first = rows.withColumn("by_sure", F.min(id_).over(Window.partitionBy(*sure))).withColumn("by_maybe", F.min(id_).over(Window.partitionBy(*maybe)))
+    first = rows
+    for name, keys in (("by_sure", sure), ("by_maybe", maybe)):
+        first = _beside(first, rows.groupBy(*keys).agg(F.min(id_).alias(name)), keys)
     confirmed = c("by_sure") < c(id_)
     found = first.where(confirmed | (c("by_maybe") < c(id_)))
     return found.select(id_, F.when(confirmed, c("by_sure")).otherwise(c("by_maybe")).alias("canonical"), F.when(confirmed, "confirmed").otherwise("pending").alias("status"), F.when(confirmed, 1.0).otherwise(0.8).alias("score"))

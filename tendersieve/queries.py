@@ -460,7 +460,7 @@ def _(s, d):
 
 @query("first_value_current_version", "SELECT id, body_id, first_value(kind) OVER (PARTITION BY body_id ORDER BY published DESC, id DESC) AS current FROM @t")
 def _(s, d):
-    return relational.current_version(tenders(s, d), ["body_id"], [F.desc("published"), F.desc("id")], "kind").select("id", "body_id", "current")
+    return relational.current_version(tenders(s, d, "id", "body_id", "published", "kind"), ["body_id"], [F.desc("published"), F.desc("id")], "kind").select("id", "body_id", "current")
 
 
 @query("exact_then_like", "SELECT c_custkey, c_name, 1 AS exact FROM customer WHERE c_custkey = 12 UNION ALL SELECT c_custkey, c_name, 0 FROM (SELECT * FROM customer WHERE contains(lower(c_name), '12') AND c_custkey <> 12 ORDER BY c_custkey LIMIT 19)")
@@ -476,7 +476,7 @@ def _(s, d):
 @query("duplicate_detection", """WITH x AS (SELECT id, min(id) OVER (PARTITION BY body_id, kind, status) AS a1, min(id) OVER (PARTITION BY body_id, kind) AS a2 FROM @t)
   SELECT id, CASE WHEN a1 < id THEN a1 ELSE a2 END AS canonical, CASE WHEN a1 < id THEN 'confirmed' ELSE 'pending' END AS status, CASE WHEN a1 < id THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS score FROM x WHERE a1 < id OR a2 < id""")
 def _(s, d):
-    return relational.duplicates(tenders(s, d), ["body_id", "kind", "status"], ["body_id", "kind"], "id")
+    return relational.duplicates(tenders(s, d, "id", "body_id", "kind", "status"), ["body_id", "kind", "status"], ["body_id", "kind"], "id")
 
 
 # -- scalars -----------------------------------------------------------------------------------

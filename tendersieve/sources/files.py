@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -113,7 +114,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 #: What a statement may consist of: nodes of a parsed query, and functions.
 QUERY_NODES = frozenset(
     "Project Filter Aggregate Join LateralJoin Sort GlobalLimit LocalLimit Offset Distinct SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedWith UnresolvedRelation UnresolvedHaving "
-    "UnresolvedInlineTable LocalRelation OneRowRelation Union Except Intersect WithWindowDefinition".split()
+    "UnresolvedInlineTable LocalRelation OneRowRelation Union Except Intersect WithWindowDefinition Pivot".split()
 )
 FUNCTIONS = frozenset(
     "count sum avg mean min max median mode stddev stddev_pop stddev_samp variance var_pop var_samp percentile percentile_approx approx_count_distinct count_if any every bool_and bool_or first last first_value "
@@ -144,6 +145,9 @@ def _refused(spark: SparkSession, sql: str) -> str | None:
         if kind == "UnresolvedTableValuedFunction":
             if (name := node.name().mkString(".").lower()) not in ROWS_OF:
                 return f"function {name}"
+        elif kind == "Generate" and node.generator().getClass().getSimpleName() == "UnresolvedGenerator":
+            if (name := node.generator().name().unquotedString().lower()) not in ROWS_OF:
+                return f"function {name}"
         elif kind not in QUERY_NODES:
             return kind
         if kind == "UnresolvedRelation" and node.multipartIdentifier().size() != 1:
@@ -169,11 +173,13 @@ def write_with_manifest(tables: dict[str, DataFrame], folder: str) -> dict[str,
     return counts
 
 
-def guarded_sql(spark: SparkSession, sql: str, rows: int = 500, cell: int = 1000) -> DataFrame:
+def guarded_sql(spark: SparkSession, sql: str, rows: int = 500, cell: int = 1000, seconds: float = 30.0) -> DataFrame:
     """A read-only query, at most ``rows`` rows, whether there are more, texts cut to ``cell`` characters.
 
     The statement is parsed first: one that holds anything but query nodes, functions of the list ``FUNCTIONS``
     and tables by their plain name (so no commands, inserts, scripts, reflection, or paths as tables) is refused.
+    It runs once, at most ``seconds`` long, else its jobs are cancelled and ``TimeoutError`` is raised; its
+    first rows are written, so that they and the mark tell of the same run.
     """
     try:
         refused = _refused(spark, sql)
@@ -183,7 +189,26 @@ def guarded_sql(spark: SparkSession, sql: str, rows: int = 500, cell: int = 1000
         raise ValueError(f"only a SELECT over tables is allowed, not {refused}")
     found = spark.sql(sql).limit(rows + 1)
     short = [F.substring(f"`{f.name}`", 1, cell).alias(f.name) if f.dataType.simpleString() == "string" else c(f"`{f.name}`") for f in found.schema.fields]
-    return found.select(*short).limit(rows).crossJoin(found.agg((F.count("*") > rows).alias("truncated")))
+    context, group, late = spark.sparkContext, f"guarded-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    context.setJobGroup(group, "guarded query", interruptOnCancel=True)
+    timer.start()
+    try:
+        told = cut(found.select(*short), "guarded")
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"the query took more than {seconds:g} seconds") from e
+        raise
+    finally:
+        timer.cancel()
+        for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            context.setLocalProperty(name, None)
+    return told.limit(rows).withColumn("truncated", F.lit(told.count() > rows))
 
 
 def describe(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:

@@ -147,6 +147,7 @@ def test_guarded_sql_refuses_all_but_queries(spark, tmp_path):
         "SELECT id, ';' AS mark FROM guarded_numbers WHERE id IN (SELECT max(id) FROM guarded_numbers)",
         "WITH x AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM guarded_numbers) SELECT * FROM x UNION ALL SELECT 7, 8 ORDER BY 1;",
         "SELECT id % 2 AS k, count(*) FILTER (WHERE id > 0) AS n FROM guarded_numbers a JOIN (VALUES (1), (2)) v(x) ON x = id GROUP BY 1 HAVING count(*) > 0",
+        "SELECT id, w FROM guarded_numbers LATERAL VIEW explode(split('a b', ' ')) t AS w", "SELECT * FROM (SELECT id, id % 2 AS k FROM guarded_numbers) PIVOT (count(*) FOR k IN (0, 1))",
     ]
     for sql in good:
         assert files.guarded_sql(spark, sql).columns[-1] == "truncated"
@@ -155,11 +156,15 @@ def test_guarded_sql_refuses_all_but_queries(spark, tmp_path):
     bad = [
         "WITH x AS (SELECT 7 AS a) INSERT INTO guarded_numbers SELECT a FROM x", "SELECT TRANSFORM(id) USING 'cat' FROM guarded_numbers", "SELECT reflect('java.lang.System', 'getProperty', 'user.home')",
         "SELECT (SELECT java_method('java.lang.System', 'exit', 1))", f"SELECT * FROM parquet.`{tmp_path / 'p'}`", "WITH x AS (SELECT reflect('a', 'b')) SELECT * FROM x", "DROP VIEW guarded_numbers",
-        "SET a = 1", "SELECT 1; SELECT 2", "SELECT * FROM python_worker_logs()", "EXPLAIN SELECT 1", "SELECT 1 WHERE exists(SELECT * FROM csv.`/etc/passwd`)", "",
+        "SET a = 1", "SELECT 1; SELECT 2", "SELECT * FROM python_worker_logs()", "EXPLAIN SELECT 1", "SELECT a FROM guarded_numbers LATERAL VIEW json_tuple('{}', 'a') t AS a",
+        "SELECT * FROM (SELECT id, id % 2 AS k FROM guarded_numbers) PIVOT (max(reflect('a', 'b')) FOR k IN (0))", "SELECT w FROM guarded_numbers LATERAL VIEW explode(array(reflect('a', 'b'))) t AS w", "SELECT 1 WHERE exists(SELECT * FROM csv.`/etc/passwd`)", "",
     ]
     for sql in bad:
         with pytest.raises(ValueError):
             files.guarded_sql(spark, sql)
+    with pytest.raises(TimeoutError):
+        files.guarded_sql(spark, "SELECT sum(a.id * b.id % 7) FROM range(10000000) a CROSS JOIN range(10000000) b", seconds=2.0)
+    assert files.guarded_sql(spark, "SELECT id FROM guarded_numbers ORDER BY id DESC", rows=2).collect() == [(2, True), (1, True)]
 
 
 ENTRY_XML = """<feed><entry><id>e1</id><title>Old</title><updated>2024-01-01T00:00:00Z</updated><ContractFolderStatus><ContractFolderID>F/1</ContractFolderID></ContractFolderStatus></entry>
