@@ -1,9 +1,8 @@
 """Ranked search over text and vectors from indexes that are written once.
 
-Text: an inverted index of (term, block, postings). A block is 64 documents in a row, so one task makes whole postings
-of a block without any shuffle. Each row's head (number of documents, greatest count, least length) bounds what its term
-adds to a BM25 score in that block. A search reads heads first, scores the most promising blocks of each query, and opens
-of the others only those whose bound reaches the n-th score found; what it returns is exact.
+Text: an inverted index of (term, block, postings). A block is at most 8,192 documents in a row, so one task makes whole postings
+of a block without any shuffle. A search meets all queries with a few blocks first; in the others, what is known of a query's n-th score
+leaves out blocks whose greatest impacts stay below it, and documents that hold only terms of little weight. What it returns is exact.
 
 Vectors: rows in lists by nearest centroid, with the distance to it. A search scores a query's nearest lists, then
 of the others the rings that the triangle inequality doesn't rule out (exact), or none (``probes`` lists only).
@@ -17,12 +16,14 @@ import json
 import math
 import re
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tendersieve.functions.scalars import MARKED, PLAIN
@@ -31,9 +32,10 @@ from tendersieve.sources.files import cut, scratch
 c = F.col
 WORD = re.compile("[a-z0-9]+")
 _FOLD = str.maketrans(MARKED, PLAIN)
-#: Documents of a block, as a power of two.
-BLOCK_BITS = 6
-#: Blocks of a query that are scored before bounds decide.
+#: Most documents of a block, as a power of two, and its postings (but for the last document's).
+BLOCK_BITS = 13
+MOST_POSTINGS = 1 << 21
+#: Blocks that are scored before bounds decide.
 FIRST = 8
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -48,36 +50,128 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.translate(_FOLD).lower())
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (term, block, docs, counts, lengths, n, most, least) of documents that come in order of number; the empty term holds all."""
-    block, held = -1, {}
+def _postings(most_docs: int):
+    """Rows of ``_POSTINGS`` of documents that come in order of number; the empty term holds all of a block, with lengths as counts."""
 
-    def rows() -> pa.RecordBatch:
-        names = list(held)
-        docs, counts, lengths = ([x[i] for x in held.values()] for i in range(3))
-        columns = [
-            pa.array(names, pa.string()), pa.array([block] * len(names), pa.int64()), pa.array(docs, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32())), pa.array(lengths, pa.list_(pa.int32())),
-            pa.array([len(x) for x in docs], pa.int64()), pa.array([max(x) for x in counts], pa.int32()), pa.array([min(x) for x in lengths], pa.int32()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=["term", "block", "docs", "counts", "lengths", "n", "most", "least"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, keys, lengths, held, size, kind = 0, [], array("i"), {}, 0, pa.int64()
+
+        def rows() -> pa.RecordBatch:
+            order = pc.sort_indices(pa.table({"key": pa.array(keys, kind), "place": np.arange(len(keys))}), sort_keys=[("key", "ascending"), ("place", "ascending")], null_placement="at_end")
+            ranks = np.empty(len(keys), np.int32)
+            ranks[order.to_numpy()] = np.arange(len(keys), dtype=np.int32)
+            names = sorted(held)
+            places, counts = [array("i", range(len(keys))), *(held[x][0] for x in names)], [lengths, *(held[x][1] for x in names)]
+            columns = [
+                pa.array(["", *names], pa.string()), pa.array([first] * len(places), pa.int64()), pa.array([len(x) for x in places], pa.int64()), pa.array([sum(x) for x in counts], pa.int64()),
+                pa.array([x.tobytes() for x in places], pa.binary()), pa.array([x.tobytes() for x in counts], pa.binary()), pa.array([ranks.tobytes(), *[None] * len(names)], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["term", "block", "n", "total", "places", "counts", "ranks"])
 
-    for batch in batches:
-        for number, text in zip(batch.column("number").to_pylist(), batch.column("text"), strict=True):
-            if number >> BLOCK_BITS != block:
-                if held:
+        for batch in batches:
+            kind = batch.schema.field("key").type
+            for number, key, text in zip(batch.column("number").to_pylist(), batch.column("key").to_pylist(), batch.column("text"), strict=True):
+                if keys and (number != first + len(keys) or len(keys) >= most_docs or size >= MOST_POSTINGS):
                     yield rows()
-                block, held = number >> BLOCK_BITS, {}
-            found = words(text.as_py() or "")
-            for term, n in [("", len(found)), *Counter(found).items()]:
-                docs, counts, lengths = held.setdefault(term, ([], [], []))
-                docs.append(number)
-                counts.append(n)
+                    keys, lengths, held, size = [], array("i"), {}, 0
+                if not keys:
+                    first = number
+                found = words(text.as_py() or "")
+                for term, n in Counter(found).items():
+                    places, counts = held.setdefault(term, (array("i"), array("i")))
+                    places.append(len(keys))
+                    counts.append(n)
+                    size += 1
+                keys.append(key)
                 lengths.append(len(found))
-    if held:
-        yield rows()
+        if keys:
+            yield rows()
+
+    return run
+
+
+_POSTINGS = "term string, block long, n long, total long, places binary, counts binary, ranks binary"
+
+
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, block, doc) of postings."""
+    for batch in batches:
+        for term, block, places in zip(*(batch.column(x).to_pylist() for x in ("term", "block", "places")), strict=True):
+            docs = np.frombuffer(places, np.int32).astype(np.int64) + block
+            yield pa.RecordBatch.from_arrays([pa.array([term] * len(docs), pa.string()), pa.array(np.full(len(docs), block)), pa.array(docs)], names=["term", "block", "doc"])
 
 
-_POSTINGS = "term string, block long, docs array<long>, counts array<int>, lengths array<int>, n long, most int, least int"
+#: What comes of a block, in this order.
+ALL, SCOPE, POSTINGS, QUERY = range(4)
+
+
+def _ranked(mean: float, n: int, scoped: bool, every: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(q, doc, score): of each block the n best documents of each of its queries, those of less than ``sure`` left out.
+
+        Terms whose greatest impacts together stay below ``sure`` name no candidates: only documents of the others are scored. Terms
+        add up in one order whatever names the candidates, so documents of equal words have equal scores.
+        """
+        at, held, norm, ranks, mask, scratch = None, {}, None, None, None, None
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for row in batch.to_pylist():
+                if row["block"] != at:
+                    at, held, mask = row["block"], {}, None
+                if row["kind"] == ALL:
+                    norm = K1 * (1 - B + B * np.frombuffer(row["counts"], np.int32) / mean)
+                    ranks, scratch = np.frombuffer(row["ranks"], np.int32), np.zeros(len(norm))
+                    mask = np.full(len(norm), not scoped)
+                elif row["kind"] == SCOPE:
+                    mask[row["inside"]] = True
+                elif row["kind"] == POSTINGS:
+                    places, counts = np.frombuffer(row["places"], np.int32), np.frombuffer(row["counts"], np.int32)
+                    impact = counts * (K1 + 1) / (counts + norm[places])
+                    held[row["term"]] = row["weight"], places, impact, float(impact.max())
+                for asked in row["asking"] or ():
+                    parts = [held[x] for x in asked["terms"] if x in held]
+                    least = -1.0 if asked["sure"] is None else asked["sure"] - 1e-6
+                    if not parts or every and len(parts) < len(asked["terms"]) or sum(x[0] * x[3] for x in parts) < least:
+                        continue
+                    if asked["only"] is not None:
+                        those = np.array(asked["only"], np.int64) - at
+                    elif every:
+                        those = min((x[1] for x in parts), key=len)
+                    else:
+                        naming, below = [], 0.0
+                        for x in sorted(parts, key=lambda x: x[0] * x[3]):
+                            below += x[0] * x[3]
+                            if below >= least:
+                                naming.append(x[1])
+                        if len(naming) > 1:
+                            for x in naming:
+                                scratch[x] = 1.0
+                            those = np.flatnonzero(scratch)
+                            scratch[those] = 0.0
+                        else:
+                            those = naming[0] if naming else np.empty(0, np.int64)
+                    those = those[mask[those]]
+                    score = np.zeros(len(those))
+                    for w, places, impact, _ in parts:
+                        scratch[places] = impact
+                        got = scratch[those]
+                        scratch[places] = 0.0
+                        if every:
+                            keep = got > 0
+                            those, score, got = those[keep], score[keep], got[keep]
+                        score += w * got
+                    score = np.floor(score * 1e6 + 0.5) / 1e6
+                    keep = np.flatnonzero(score >= least)
+                    if len(keep) > n:
+                        keep = keep[score[keep] >= np.partition(score[keep], len(keep) - n)[len(keep) - n]]
+                    keep = keep[np.lexsort((ranks[those[keep]], -score[keep]))[:n]]
+                    out[0].append(np.full(len(keep), asked["q"]))
+                    out[1].append(those[keep].astype(np.int64) + at)
+                    out[2].append(score[keep])
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["q", "doc", "score"])
+
+    return run
 
 
 def _top(rows: DataFrame, by: str, order: list[Column], n: int) -> DataFrame:
@@ -104,66 +198,63 @@ class TextIndex:
         path = path or f"{scratch(spark)}/text-index-{uuid.uuid4().hex}"
         others = [x for x in docs.columns if x not in (key, "text")]
         docs.select(F.monotonically_increasing_id().alias("number"), c(key).alias("key"), "text", *others).write.parquet(f"{path}/numbered")
-        # files are read in order of number; one that is read by two tasks gives two rows of the block at the cut
-        made = spark.read.parquet(f"{path}/numbered").select("number", "text").mapInArrow(_postings, _POSTINGS)
-        # a term of very many documents lies in several files
-        made.repartition("term", F.pmod("block", F.lit(16))).sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
+        # files are read in order of number, each block by one task; a block ends where numbers jump
+        made = spark.read.parquet(f"{path}/numbered").select("number", "key", "text").mapInArrow(_postings(1 << BLOCK_BITS), _POSTINGS)
+        made.write.parquet(f"{path}/postings")
         return TextIndex.open(spark, path)
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> TextIndex:
         postings = spark.read.parquet(f"{path}/postings")
-        all_ = postings.where("term = ''").agg(F.sum("n").alias("n"), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("words")).first()
+        all_ = postings.where("term = ''").agg(F.sum("n").alias("n"), F.sum("total").alias("words")).first()
         n = all_["n"] or 0
         return TextIndex(postings, spark.read.parquet(f"{path}/numbered").drop("text"), n, (all_["words"] or 0) / n if n else 0.0)
 
-    def _impact(self, count: Column, length: Column) -> Column:
-        return count * (K1 + 1) / (count + K1 * (1 - B + B * length / F.lit(self.mean_length or 1.0)))
-
-    def weights(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(heads of the asked terms, (qid, term, weight)); terms that no document holds drop out."""
-        rows = self.postings.select("term", "block", "n", "most", "least").join(asked.select("term").distinct(), "term")
-        heads = cut(rows.groupBy("term", "block").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("least").alias("least")), "heads")
-        df = heads.groupBy("term").agg(F.sum("n").cast("double").alias("df"))
-        idf = F.log(1 + (self.n_docs - c("df") + 0.5) / (c("df") + 0.5))
-        return heads, cut(asked.select("qid", "term").distinct().join(df, "term").select("qid", "term", idf.alias("weight")), "weights")
-
-    def _scored(self, cells: DataFrame, weights: DataFrame, scope: Column | None) -> DataFrame:
-        """(qid, doc, score, terms) of the documents of (qid, block) cells."""
-        rows = cells.join(weights, "qid").join(self.postings.select("term", "block", "docs", "counts", "lengths"), ["term", "block"])
-        each = rows.select("qid", "weight", F.explode(F.arrays_zip("docs", "counts", "lengths")).alias("p"))
-        scored = each.groupBy("qid", c("p.docs").alias("doc")).agg(F.sum(c("weight") * self._impact(c("p.counts"), c("p.lengths"))).alias("s"), F.count("*").alias("terms"))
+    def weights(self, asked: DataFrame) -> DataFrame:
+        """(term, t, weight) of the asked terms with numbers of their own; those that no document holds drop out."""
+        df = self.postings.select("term", "n").join(asked.where("term <> ''").select("term").distinct(), "term").groupBy("term").agg(F.sum("n").cast("double").alias("df"))
+        weight = F.log(1 + (self.n_docs - c("df") + 0.5) / (c("df") + 0.5))
+        return cut(df.select("term", F.monotonically_increasing_id().alias("t"), weight.alias("weight")), "weights")
+
+    def _found(self, cells: DataFrame, weights: DataFrame, n: int, scope: Column | None, every: bool = False) -> DataFrame:
+        """(q, doc, key, score): the n best of each block for its queries: cells of (block, asking: array of q, terms, sure, only)."""
+        blocks = cells.select("block").distinct()
+        all_ = self.postings.where("term = ''").join(blocks, "block")
+        rows = cells.withColumn("kind", F.lit(QUERY)).unionByName(all_.select("block", "counts", "ranks", F.lit(ALL).alias("kind")), allowMissingColumns=True)
+        rows = rows.unionByName(self.postings.select("term", "block", "places", "counts").join(weights, "term").drop("term").withColumnRenamed("t", "term").join(blocks, "block", "left_semi").withColumn("kind", F.lit(POSTINGS)), allowMissingColumns=True)
         if scope is not None:
-            scored = scored.join(self.docs.where(scope).select(c("number").alias("doc")), "doc", "left_semi")
-        return scored.select("qid", "doc", F.round("s", 6).alias("score"), "terms")
+            each = all_.select("block", F.explode(F.sequence("block", c("block") + c("n") - 1)).alias("number")).join(self.docs.where(scope).select("number"), "number")
+            rows = rows.unionByName(each.groupBy("block").agg(F.collect_list(c("number") - c("block")).alias("inside"), F.lit(SCOPE).alias("kind")), allowMissingColumns=True)
+        dealt = rows.repartition("block").sortWithinPartitions("block", "kind")
+        found = dealt.mapInArrow(_ranked(self.mean_length or 1.0, n, scope is not None, every), "q long, doc long, score double")
+        return found.join(self.docs.select(c("number").alias("doc"), "key"), "doc").select("q", "doc", "key", "score")
 
     def search(self, asked: DataFrame, n: int, scope: Column | None = None, every: bool = False, first: int = FIRST) -> DataFrame:
         """(qid, key, score, rank): the n documents of greatest BM25 for each query's distinct terms, ties by key.
 
         ``asked`` has (qid, term), terms as ``words`` makes them. ``every``: only documents with all terms of a query.
         Document frequencies are those of the whole index, whatever the scope. A query without a known term finds nothing.
+        Queries of the same terms are searched once.
         """
-        heads, weights = self.weights(asked)
-        size = asked.select("qid", "term").distinct().groupBy("qid").agg(F.count("*").alias("size"))
-        bound = F.sum(c("weight") * self._impact(c("most"), c("least"))).alias("bound")
-        bounds = heads.join(weights, "term").groupBy("qid", "block").agg(bound, F.count("*").alias("terms"))
-        if every:
-            bounds = bounds.join(size, "qid").where("terms = size").drop("size")
-        bounds = cut(bounds.select("qid", "block", "bound"), "bounds")
-
-        def found(cells: DataFrame) -> DataFrame:
-            scored = self._scored(cells.select("qid", "block"), weights, scope)
-            if every:
-                scored = scored.join(size, "qid").where("terms = size")
-            named = scored.select("qid", "doc", "score").join(self.docs.select(c("number").alias("doc"), "key"), "doc")
-            return _top(named.select("qid", "key", "doc", "score"), "qid", [F.desc("score"), c("key").asc_nulls_last(), F.asc("doc")], n)
-
-        opened = cut(_top(bounds, "qid", [F.desc("bound"), F.asc("block")], first), "opened")
-        best = cut(found(opened), "best")
-        sure = best.where(c("rank") == n).select("qid", c("score").alias("sure"))
-        rest = bounds.join(opened.select("qid", "block"), ["qid", "block"], "left_anti").join(sure, "qid", "left").where("sure is null or bound >= sure - 0.000001")
-        both = best.drop("rank").unionByName(found(rest).drop("rank"))
-        return _top(both, "qid", [F.desc("score"), c("key").asc_nulls_last(), F.asc("doc")], n).select("qid", "key", "score", "rank")
+        order = [F.desc("score"), c("key").asc_nulls_last(), F.asc("doc")]
+        terms = cut(asked.groupBy("qid").agg(F.array_sort(F.collect_set("term")).alias("asked")), "asked")
+        sets = cut(terms.select("asked").distinct().withColumn("q", F.monotonically_increasing_id()), "sets")
+        weights = self.weights(asked)
+        several = math.ceil(sets.count() / ASKING) or 1
+        known = sets.select("q", F.size("asked").alias("size"), F.explode("asked").alias("term")).join(weights, "term").groupBy("q", "size").agg(F.array_sort(F.collect_list(F.struct("term", "t"))).alias("x"))
+        known = cut((known.where(F.size("x") == c("size")) if every else known).select("q", c("x.t").alias("terms")), "known")
+        blocks = self.postings.where("term = ''").select("block")
+        opened = cut(blocks.orderBy(F.xxhash64("block"), "block").limit(first), "opened")
+
+        def found(some: DataFrame, asking: DataFrame) -> DataFrame:
+            packs = asking.groupBy(F.pmod(F.xxhash64("q"), F.lit(several)).alias("pack")).agg(F.collect_list(F.struct("q", "terms", "sure", F.lit(None).cast("array<bigint>").alias("only"))).alias("asking"))
+            return self._found(cut(packs, "packs").crossJoin(F.broadcast(some)).select("block", "asking"), weights, n, scope, every)
+
+        best = cut(_top(found(opened, known.withColumn("sure", F.lit(None).cast("double"))), "q", order, n), "best")
+        sure = best.where(c("rank") == n).select("q", c("score").alias("sure"))
+        rest = found(blocks.join(opened, "block", "left_anti"), known.join(sure, "q", "left"))
+        top = _top(best.drop("rank").unionByName(rest), "q", order, n)
+        return top.join(terms.join(sets, "asked").select("qid", "q"), "q").select("qid", "key", "score", "rank")
 
     def web_search(self, texts: DataFrame, expressions: dict[int, str], n: int, scope: Column | None = None, key: str = "doc_id") -> DataFrame:
         """(qid, key, score, rank) of web-style expressions: words are all wanted, "phrases" word by word, ``or`` between
@@ -176,24 +267,28 @@ class TextIndex:
         wanted = [(q, i, " ".join(x)) for q, (clauses, _) in parsed.items() for i, clause in enumerate(clauses) for x in clause]
         banned = [(q, " ".join(x)) for q, (_, none) in parsed.items() for x in none]
         asked = spark.createDataFrame(sorted({(q, w) for q, _, x in wanted for w in x.split()}), "qid int, term string")
-        _, weights = self.weights(asked)
+        weights = self.weights(asked)
         of = {x for _, _, x in wanted} | {x for _, x in banned}
         terms = spark.createDataFrame([(x, w) for x in sorted(of) for w in sorted(set(x.split()))], "part string, term string")
-        each = self.postings.select("term", F.explode("docs").alias("doc")).join(terms, "term").groupBy("part", "doc").agg(F.count("*").alias("held"))
+        docs = self.postings.where(c("term").isin(sorted({w for x in of for w in x.split()}))).select("term", "block", "places").mapInArrow(_numbers, "term string, block long, doc long")
+        each = docs.join(terms, "term").groupBy("part", "block", "doc").agg(F.count("*").alias("held"))
         sizes = terms.groupBy("part").agg(F.count("*").alias("size"))
-        held = each.join(sizes, "part").where("held = size").select("part", "doc")
+        held = each.join(sizes, "part").where("held = size").select("part", "block", "doc")
         # a phrase is looked for in the texts that hold all its words
         folded = F.regexp_replace(F.lower(F.translate("text", MARKED, PLAIN)), "[^a-z0-9]+", " ")
         phrases = held.where(F.contains("part", F.lit(" "))).join(self.docs.select(c("number").alias("doc"), "key"), "doc").join(texts.select(c(key).alias("key"), "text"), "key")
-        phrases = phrases.where(F.contains(F.concat(F.lit(" "), folded, F.lit(" ")), F.concat(F.lit(" "), "part", F.lit(" ")))).select("part", "doc").distinct()
+        phrases = phrases.where(F.contains(F.concat(F.lit(" "), folded, F.lit(" ")), F.concat(F.lit(" "), "part", F.lit(" ")))).select("part", "block", "doc").distinct()
         held = cut(held.where(~F.contains("part", F.lit(" "))).unionByName(phrases), "held")
         clauses = spark.createDataFrame(wanted, "qid int, clause int, part string")
         need = spark.createDataFrame([(q, len(x)) for q, (x, _) in parsed.items()], "qid int, need int")
-        fits = held.join(clauses, "part").select("qid", "clause", "doc").distinct().groupBy("qid", "doc").agg(F.count("*").alias("met")).join(need, "qid").where("met = need")
-        fits = fits.join(held.join(spark.createDataFrame(banned, "qid int, part string"), "part").select("qid", "doc"), ["qid", "doc"], "left_anti").select("qid", "doc")
-        cells = fits.select("qid", F.shiftright("doc", BLOCK_BITS).alias("block")).distinct()
-        scored = self._scored(cells, weights, scope).join(fits, ["qid", "doc"], "left_semi").join(self.docs.select(c("number").alias("doc"), "key"), "doc")
-        return _top(scored, "qid", [F.desc("score"), c("key").asc_nulls_last(), F.asc("doc")], n).select("qid", "key", "score", "rank")
+        fits = held.join(clauses, "part").select("qid", "clause", "block", "doc").distinct().groupBy("qid", "block", "doc").agg(F.count("*").alias("met")).join(need, "qid").where("met = need")
+        fits = fits.join(held.join(spark.createDataFrame(banned, "qid int, part string"), "part").select("qid", "doc"), ["qid", "doc"], "left_anti")
+        asking = asked.join(weights, "term").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("term", "t"))).alias("x"))
+        cells = fits.groupBy("qid", "block").agg(F.collect_list("doc").alias("only")).join(asking, "qid")
+        one = F.struct(c("qid").cast("long").alias("q"), c("x.t").alias("terms"), F.lit(None).cast("double").alias("sure"), "only")
+        cells = cut(cells.select("block", F.array(one).alias("asking")), "cells")
+        found = self._found(cells, weights, n, scope)
+        return _top(found.withColumn("qid", c("q").cast("int")), "qid", [F.desc("score"), c("key").asc_nulls_last(), F.asc("doc")], n).select("qid", "key", "score", "rank")
 
 
 def parse_expression(text: str) -> tuple[list[list[list[str]]], list[list[str]]]:

@@ -52,6 +52,16 @@ def test_bm25_equals_brute_force_through_bounds(spark, monkeypatch, every, first
     assert sorted((r["qid"], r["rank"], r["score"]) for r in scoped) == brute(rows, asked, 6, lambda r: r[2] == "en", every)
 
 
+def test_a_block_holds_many_documents_and_equal_queries_are_searched_once(spark):
+    rows = made(120)
+    index = R.TextIndex.build(spark.createDataFrame(rows, SCHEMA).coalesce(1))
+    # one row a term: bounds and queries no longer meet each 64 documents
+    assert index.postings.where("term = 'w1'").count() == index.postings.select("block").distinct().count() == 1
+    asked = {q: ["w1", "w7", "w30"] if q % 2 else ["w2"] for q in range(300)}
+    got = index.search(spark.createDataFrame([(q, w) for q, ws in asked.items() for w in ws], "qid int, term string"), 5).collect()
+    assert sorted((r["qid"], r["rank"], r["score"]) for r in got) == brute(rows, asked, 5)
+
+
 def test_an_index_is_opened_again_and_may_be_empty(spark, tmp_path):
     docs = spark.createDataFrame(made(20), SCHEMA)
     terms = spark.createDataFrame([(1, "w1")], "qid int, term string")
