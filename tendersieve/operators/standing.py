@@ -1,11 +1,21 @@
-"""Standing rules as a table: intervals joined by halving buckets, windows of each rule's own, what was told before left out."""
+"""Standing rules as a table: intervals joined by halving buckets, windows of each rule's own, what was told before left out.
+
+``match_rules`` gives every pair, which grows with rules times tenders. What a rule tells (its newest rows) and its totals
+come without them: rules that ask the same segment, region and prefix form a class; tenders of a class lie in
+buckets, of amounts or of days, that any rule's interval is a few of.
+"""
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tendersieve.sources.files import cut
+
 c = F.col
 DAY_ZERO = 1 << 19
 DAY_BITS = 20
@@ -46,6 +56,105 @@ def interval_join(points: DataFrame, value: str, intervals: DataFrame, low: str,
     return spread.join(cuts, ["level__", "node__"]).drop("level__", "node__")
 
 
+def cover8(low: Column, high: Column, levels: int) -> Column:
+    """(level, node) buckets of 8 ** level numbers that make up those from low to below high, at most 14 a level."""
+    kind = "array<struct<level:int,node:bigint>>"
+    start = F.struct(low.cast("long").alias("l"), F.greatest(low, high).cast("long").alias("r"), F.array().cast(kind).alias("out"))
+
+    def step(a: Column, level: Column) -> Column:
+        l, r = F.shiftleft(F.shiftright(a["l"] + 7, 3), 3), F.shiftleft(F.shiftright(a["r"], 3), 3)
+        last = (l >= r) | (level == levels)
+        nodes = lambda x, y: F.when(x < y, F.transform(F.sequence(x, y - 1), lambda n: F.struct(level.cast("int").alias("level"), n.alias("node")))).otherwise(F.array().cast(kind))
+        new = F.when(last, nodes(a["l"], a["r"])).otherwise(F.concat(nodes(a["l"], l), nodes(r, a["r"])))
+        at = lambda x: F.when(last, F.lit(0).cast("long")).otherwise(F.shiftright(x, 3))
+        return F.struct(at(l).alias("l"), at(r).alias("r"), F.concat(a["out"], new).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step, lambda a: a["out"])
+
+
+def _classes(rules: DataFrame, tenders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables with ``class__``: equal for rules that ask the same segment, region and prefix; a tender has a row for each class that it meets."""
+    asks = ["segment", "region", "prefix"]
+    kinds = cut(rules.select(*asks).distinct().withColumn("class__", F.monotonically_increasing_id()), "classes")
+    lengths = [r[0] for r in kinds.where("prefix is not null").select(F.length("prefix")).distinct().collect()]
+    null = F.lit(None).cast("string")
+    options = {"segment": [c("segment")], "region": [c("region")], "prefix": [F.substring("code", 1, n) for n in lengths]}
+    own = tenders
+    for k, found in options.items():
+        own = own.withColumn(f"{k}__", F.explode(F.array_distinct(F.array(null, *found))))
+    fits = reduce(lambda a, b: a & b, [c(f"{k}__").eqNullSafe(c(f"{k}__k")) for k in asks])
+    met = own.join(kinds.select("class__", *[c(k).alias(f"{k}__k") for k in asks]), fits).select("class__", *tenders.columns)
+    known = reduce(lambda a, b: a & b, [c(k).eqNullSafe(c(f"{k}__k")) for k in asks])
+    return rules.join(kinds.select("class__", *[c(k).alias(f"{k}__k") for k in asks]), known).select("class__", *rules.columns), met
+
+
+def rule_totals(rules: DataFrame, tenders: DataFrame) -> DataFrame:
+    """(rule_id, n, amount, newest): number, sum of amounts and greatest id of what ``match_rules`` gives for each rule that has any.
+
+    In each bucket of days tenders and rules are put in order of amount, so a rule finds the totals of what comes before it.
+    """
+    rules = cut(rules.withColumn("row__", F.monotonically_increasing_id()), "rules")
+    dated = tenders.where("published is not null").withColumn("day__", day(c("published")).cast("long"))
+    ends = dated.agg(F.min("day__"), F.max("day__")).first()
+    if ends[0] is None:
+        return rules.limit(0).select("rule_id", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("amount"), F.lit(0).cast(tenders.schema["id"].dataType).alias("newest"))
+    levels = max(1, math.ceil(math.log(ends[1] - ends[0] + 2, 8)))
+    asking, met = _classes(rules, dated.withColumn("day__", c("day__") - ends[0]).select("id", "segment", "region", "code", "amount", "day__").repartition("id"))
+    first = F.greatest(F.coalesce(day(c("since")) - ends[0], F.lit(0)), F.lit(0))
+    last = F.least(F.coalesce(day(c("until")) - ends[0], F.lit(ends[1] - ends[0] + 1)), F.lit(ends[1] - ends[0] + 1))
+    asking = cut(asking.select("class__", "row__", c("least").alias("amount"), F.explode(cover8(first, last, levels)).alias("b")).select("class__", c("b.level").alias("level"), c("b.node").alias("node"), "row__", "amount"), "asking")
+    used = sorted(r[0] for r in asking.select("level").distinct().collect())
+    # rules without a least amount come last, after tenders without an amount
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("day__", 3 * k).alias("node")) for k in used] or [F.lit(None).cast("struct<level:int,node:bigint>")]))
+    lying = met.select("class__", at.alias("b"), "id", "amount").select("class__", c("b.level").alias("level"), c("b.node").alias("node"), F.lit(None).cast("long").alias("row__"), "amount", "id", c("amount").isNull().cast("int").alias("turn"))
+    both = lying.unionByName(asking.withColumn("id", F.lit(None).cast(tenders.schema["id"].dataType)).withColumn("turn", F.when(c("amount").isNull(), 2).otherwise(0)))
+    before = Window.partitionBy("class__", "level", "node").orderBy("turn", F.desc("amount"), c("row__").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    tender = c("row__").isNull()
+    told = both.select("row__", F.count(F.when(tender, 1)).over(before).alias("n"), F.sum(F.when(tender, c("amount"))).over(before).alias("amount"), F.max("id").over(before).alias("newest")).where("row__ is not null and n > 0")
+    whole = told.groupBy("row__").agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"), F.max("newest").alias("newest"))
+    return whole.join(rules.select("row__", "rule_id"), "row__").groupBy("rule_id").agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"), F.max("newest").alias("newest"))
+
+
+#: Tenders between two bounds of amounts, at most in the mean.
+BETWEEN = 256
+
+
+def _newest(rules: DataFrame, tenders: DataFrame, told: DataFrame, limit: int) -> DataFrame:
+    """(rule_id, id, published): for each rule its newest tenders, ``limit`` and as many as it was told of, and perhaps others.
+
+    Amounts are cut at bounds, one bucket for each bound and each space between two. A rule's amounts are at most two halving buckets a
+    level, of which each gives its newest rows, and a part of one space, which gives all its rows.
+    """
+    rules = rules.withColumn("low__", day(c("since")))
+    least = rules.agg(F.min("low__")).first()[0]
+    fresh = tenders.where("published is not null").withColumn("day__", day(c("published")))
+    # dealt anew: tables may lie in few files, and each row is about to become many
+    fresh = cut(fresh.where(c("day__") >= F.lit(least)).repartition("id"), "fresh")
+    needs = cut(told.join(rules.select("rule_id").distinct(), "rule_id", "left_semi").groupBy("rule_id").agg(F.count("*").alias("known__")), "needs")
+    most = limit + (needs.agg(F.max("known__")).first()[0] or 0)
+    several = max(1, fresh.count() // BETWEEN)
+    bounds = np.unique(fresh.where("amount is not null and not isnan(amount)").approxQuantile("amount", [i / several for i in range(1, several)], 0.25 / several) if several > 1 else [])
+    bits = int(2 * len(bounds) + 2).bit_length()
+
+    def place(v: pd.Series) -> pd.Series:
+        x = v.to_numpy(float)
+        return pd.Series(1 + np.searchsorted(bounds, x, "left") + np.searchsorted(bounds, x, "right"))
+
+    cell = F.pandas_udf(place, "long")
+    asking, met = _classes(rules.join(needs, "rule_id", "left").withColumn("need__", limit + F.coalesce("known__", F.lit(0))), fresh)
+    met = cut(met.select("class__", "id", "published", "amount", "day__", F.when(c("amount").isNull(), 0).otherwise(cell(F.coalesce("amount", F.lit(0.0)))).alias("cell")), "met")
+    asking = cut(asking.select("class__", "rule_id", "low__", "need__", "least", F.when(c("least").isNull(), 0).otherwise(cell(F.coalesce("least", F.lit(0.0)))).alias("cell")), "asking")
+    part = c("least").isNotNull() & (c("cell") % 2 == 1)
+    nodes = asking.select("*", F.explode(cover(c("cell") + part.cast("long"), F.lit(1 << bits), bits)).alias("b")).select("*", c("b.level").alias("level"), c("b.node").alias("node")).drop("b")
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("cell", k).alias("node")) for k in range(bits + 1)]))
+    lying = met.select("class__", "id", "published", "day__", at.alias("b")).select("class__", c("b.level").alias("level"), c("b.node").alias("node"), "id", "published", "day__")
+    newest = Window.partitionBy("class__", "level", "node").orderBy(F.desc("published"), "id")
+    tops = lying.withColumn("place__", F.row_number().over(newest)).where(c("place__") <= most)
+    whole = nodes.join(tops, ["class__", "level", "node"]).where("place__ <= need__ and day__ >= low__").select("rule_id", "id", "published")
+    some = asking.where(part).join(met.withColumnRenamed("amount", "own__"), ["class__", "cell"]).where("own__ >= least and day__ >= low__").select("rule_id", "id", "published")
+    return whole.unionByName(some)
+
+
 def day(x: Column) -> Column:
     return F.datediff(x, F.lit("1970-01-01").cast("date")) + DAY_ZERO
 
@@ -82,6 +191,7 @@ def evaluate_rules(rules: DataFrame, tenders: DataFrame, told: DataFrame, now: s
     due = rules.where(c("last").isNull() | (F.unix_timestamp(at) - F.unix_timestamp("last") >= days * 86400))
     since = F.coalesce(F.date_sub(F.to_date("last"), grace), F.date_sub(F.to_date(at), lookback))
     windows = due.drop("since", "until").select("*", since.alias("since"), F.lit(None).cast("date").alias("until"))
-    fresh = match_rules(windows, tenders).join(told.select("rule_id", "id"), ["rule_id", "id"], "left_anti")
+    told = told.select("rule_id", "id").distinct()
+    fresh = _newest(cut(windows, "windows"), tenders, told, limit).join(told, ["rule_id", "id"], "left_anti")
     place = F.row_number().over(Window.partitionBy("rule_id").orderBy(c("published").desc_nulls_last(), "id"))
     return fresh.withColumn("place", place).where(c("place") <= limit).select("rule_id", "id", "place"), due.select("rule_id", at.alias("last"))

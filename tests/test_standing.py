@@ -73,3 +73,37 @@ def test_due_rules_tell_what_is_new_and_go_on(spark):
         turns.append(len(want))
         told |= {x[:2] for x in want}
     assert turns[0] and turns[1]
+
+
+def test_totals_of_rules_are_those_of_all_pairs(spark):
+    rules, tenders = data(400, 150, 9)
+    want = {}
+    for r in rules:
+        own = [t for t in tenders if t[1] and (r[1] is None or t[1].date() >= r[1]) and (r[2] is None or t[1].date() < r[2]) and meets(r, t)]
+        if own:
+            amounts = [t[5] for t in own if t[5] is not None]
+            want[r[0]] = (len(own), sum(amounts) if amounts else None, max(t[0] for t in own))
+    got = T.rule_totals(spark.createDataFrame(rules, RULES), spark.createDataFrame(tenders, TENDERS))
+    assert {r["rule_id"]: (r["n"], r["amount"], r["newest"]) for r in got.collect()} == want
+    assert T.rule_totals(spark.createDataFrame(rules, RULES), spark.createDataFrame([], TENDERS)).count() == 0
+
+
+def test_newest_rows_of_a_rule_come_without_all_its_pairs(spark, monkeypatch):
+    monkeypatch.setattr(T, "BETWEEN", 20)
+    rnd = random.Random(3)
+    now = dt.datetime(2024, 3, 30)
+    tenders = [(i, now - dt.timedelta(minutes=rnd.randrange(20000)), "A", "N", "45", rnd.choice([5.0, float(rnd.randrange(1000))])) for i in range(2000)]
+    rules = [(i, None, None, None, None, None, rnd.choice([None, 5.0, 4.5, float(rnd.randrange(1000))]), "daily", None) for i in range(60)]
+    told = [(r[0], t[0]) for r in rules[:20] for t in rnd.sample(tenders, 30)]
+    frames = [spark.createDataFrame(x, k) for x, k in ((rules, RULES), (tenders, TENDERS), (told, "rule_id long, id long"))]
+    got = {tuple(x) for x in T.evaluate_rules(*frames, str(now), limit=3)[0].collect()}
+    known = set(told)
+    want = set()
+    for r in rules:
+        fresh = [t for t in tenders if meets(r, t) and (r[0], t[0]) not in known]
+        want |= {(r[0], t[0], k) for k, t in enumerate(sorted(fresh, key=lambda t: (-t[1].timestamp(), t[0]))[:3], 1)}
+    assert got == want
+    start = (now - dt.timedelta(days=30)).date()
+    windows = spark.createDataFrame([(*r[:1], start, *r[2:]) for r in rules], RULES)
+    # every pair would be some 60,000 rows
+    assert T._newest(windows, *frames[1:], 3).count() < 20000
