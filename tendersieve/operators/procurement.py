@@ -139,10 +139,12 @@ def retained(rows: DataFrame, at: str, days: int, today: str) -> DataFrame:
 def emerging_terms(docs: DataFrame, known: list[str], stop: list[str], least: int, n: int) -> DataFrame:
     """The n most frequent terms of three characters or more, by documents, that are no part of a known one, each with the start of its first document."""
     terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-záéíóúñü0-9/\-]{3,})"), F.lit(1)))
-    rows = docs.select("doc_id", F.substring("text", 1, 120).alias("head"), F.explode(terms).alias("term"))
-    of = rows.groupBy("term").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "head")).alias("first"))
+    # counts and least ids alone are aggregated; the starts of the n first documents are read afterwards
+    of = docs.select("doc_id", F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
     fresh = ~c("term").isin(*stop) & ~F.exists(F.array(*[F.lit(k) for k in known]), lambda k: F.contains(k, c("term")))
-    return of.where(fresh & (c("n") >= least)).orderBy(F.desc("n"), F.asc("term")).limit(n).select("term", "n", c("first.head").alias("example"))
+    top = cut(of.where(fresh & (c("n") >= least)).orderBy(F.desc("n"), F.asc("term")).limit(n), "terms")
+    heads = docs.select("doc_id", "text").join(F.broadcast(top), c("doc_id") == c("first")).where(F.array_contains(terms, c("term")))
+    return top.select("term", "n").join(heads.groupBy("term").agg(F.min(F.substring("text", 1, 120)).alias("example")), "term", "left")
 
 
 def search(docs: DataFrame, every: list[str], any_: list[str], none: list[str], n: int) -> DataFrame:

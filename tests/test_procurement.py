@@ -44,3 +44,9 @@ def test_resamples_draw_as_a_poisson_variable(spark):
     times = F.coalesce(*[F.when(digest < x, k) for k, x in enumerate(P.POISSON)], F.lit(len(P.POISSON)))
     counts = Counter({r["k"]: r["n"] for r in spark.range(n).groupBy(times.alias("k")).agg(F.count("*").alias("n")).collect()})
     assert abs(sum(k * v for k, v in counts.items()) / n - 1) < 0.02 and max(counts) >= 5
+
+
+def test_first_documents_of_terms_are_those_with_an_id(spark):
+    rows = [(None, "zebra without id"), (7, "zebra late"), (5, "zebra first"), (5, "another of the same id"), (9, None)]
+    got = P.emerging_terms(spark.createDataFrame(rows, "doc_id long, text string"), ["license"], ["the"], 3, 5).collect()
+    assert [tuple(r) for r in got] == [("zebra", 3, "zebra first")]
