@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tendersieve.sources.files import cut
+
 c = F.col
 ACCURACY = 10_000
 #: Values of a group that one task may hold.
@@ -30,6 +32,8 @@ def percentiles(rows: DataFrame, keys: list[str], value: str | Column, shares: l
     margin = 2 / accuracy
     ends = [[min(1.0, max(0.0, q + sign * margin)) for q in shares] for sign in (-1, 1)]
     told = own.groupBy(*keys).agg(F.count("v__").alias("n"), *[F.percentile_approx("v__", x, accuracy).alias(f"{name}__") for name, x in zip(("low", "high"), ends)])
+    # written, so that Spark knows how small it is and doesn't deal a group's rows to one task to meet its bounds
+    told = cut(told, "told")
     few = c("n") <= 4 * accuracy
     inf = F.lit(float("inf"))
     bounds = told.select(*[c(k).alias(f"{k}__b") for k in keys], *[F.array(*[F.when(few, e).otherwise(c(f"{name}__")[i]) for i in range(len(shares))]).alias(f"{name}__") for name, e in (("low", -inf), ("high", inf))])

@@ -27,3 +27,12 @@ def test_no_values(spark):
     for whole in (-1, 9):
         assert percentiles(empty, ["k"], "v", [0.5], whole=whole).count() == 0
         assert tuple(percentiles(empty, [], "v", [0.5], whole=whole).first()) == (0, None)
+
+
+def test_bounds_go_to_the_rows_and_not_a_group_to_one_task(spark):
+    rows = spark.createDataFrame([("a", float(i % 11)) for i in range(500)] + [(None, 1.0)], "g string, v double")
+    found = percentiles(rows, ["g"], "v", [0.25, 0.5], accuracy=20, whole=10)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    # the join of one row a group with one row a group may remain
+    assert plan.count("SortMergeJoin") <= 1 and "BroadcastHashJoin" in plan
+    assert {r["g"]: (r["n"], r["p"]) for r in found.collect()} == {"a": (500, [2.0, 5.0]), None: (1, [1.0, 1.0])}
