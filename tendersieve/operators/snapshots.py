@@ -1,7 +1,7 @@
 """Figures computed ahead: a rolled-up cube with mergeable counts, kept until it expires, with the live figures as fallback.
 
 The cube has a row for each month and combination of dimensions, so any scope that names values of dimensions and whole months
-is a sum of its rows. Different bodies are counted exactly by bitmaps that merge by or. A snapshot is a folder of its own; it
+is a sum of its rows. Different bodies are counted exactly, from the bodies of each of its rows. A snapshot is a folder of its own; it
 counts once its line in the journal is written, which is last, so a reader never meets half a snapshot.
 """
 
@@ -26,8 +26,8 @@ _JOURNAL = "folder string, computed_at timestamp, dimensions string"
 def _cube(tenders: DataFrame, dimensions: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     keyed = tenders.withColumn("month", F.trunc("published", "month"))
     figures = keyed.groupBy("month", *dimensions).agg(F.count("*").alias("n"), F.sum("amount").alias("amount"), F.count("amount").alias("with_amount"))
-    # bit positions of one bucket fit one bitmap; a body of any number has its bucket
-    bodies = keyed.where(c("body_id").isNotNull()).groupBy("month", *dimensions, F.bitmap_bucket_number("body_id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("body_id")).alias("bodies"))
+    # a row for each body: bitmaps of 4 KB each would hold a few bodies of a month and combination only
+    bodies = keyed.where(c("body_id").isNotNull()).select("month", *dimensions, "body_id").distinct()
     return figures, bodies
 
 
@@ -84,7 +84,7 @@ class Snapshot:
             return rows.where(c("month") < F.lit(until)) if until else rows
 
         sums = inside(self.figures).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), overview.cents(c("amount")).alias("amount"), F.sum("with_amount").alias("k"))
-        merged = inside(self.bodies).groupBy("bucket").agg(F.bitmap_or_agg("bodies").alias("b")).agg(F.coalesce(F.sum(F.bitmap_count("b")), F.lit(0)).alias("bodies"))
+        merged = inside(self.bodies).agg(F.countDistinct("body_id").alias("bodies"))
         return sums.crossJoin(merged).select("n", "amount", F.round(F.try_divide("amount", "k"), 2).alias("mean_amount"), "bodies")  # one row each
 
 

@@ -55,3 +55,13 @@ def test_another_set_of_dimensions(spark, tmp_path):
     N.write_snapshot(rows, path, "2025-01-01T00:00:00", ("region",))
     assert not N.kpis(rows, TenderFilter(regions=("N",)), path, "2025-01-01T01:00:00").first()["live"]
     assert N.kpis(rows, TenderFilter(statuses=("O",)), path, "2025-01-01T01:00:00").first()["live"]
+
+
+def test_a_cube_keeps_bodies_and_no_bitmap_for_each_few_of_them(spark, tmp_path):
+    at = dt.datetime(2024, 1, 5)
+    rows = [(i, at, 1.0, i * 50_000 % 400_000, "N", "A", "O", "1") for i in range(20)] + [(20, at, 1.0, None, "N", "A", "O", "1")]
+    tenders = spark.createDataFrame(rows, "id long, published timestamp, amount double, body_id long, region string, segment string, status string, kind string")
+    N.write_snapshot(tenders, str(tmp_path), "2024-02-01T00:00:00")
+    found = N.read_snapshot(spark, str(tmp_path), "2024-02-01T01:00:00", 86400)
+    assert sorted(r["body_id"] for r in found.bodies.collect()) == [k * 50_000 for k in range(8)]
+    assert found.kpis(TenderFilter()).first()["bodies"] == 8
