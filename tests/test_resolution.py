@@ -5,7 +5,7 @@ from difflib import SequenceMatcher, get_close_matches
 import pytest
 from pyspark.sql import functions as F
 
-from tendersieve.entity_queries import award_parties
+from tendersieve.entity_queries import award_parties, party_names
 from tendersieve.functions import scalars as S
 from tendersieve.operators import resolution as R
 
@@ -133,3 +133,23 @@ def test_empty_tables(spark):
     registry = spark.createDataFrame([], "company_id long, alias string, tax string")
     assert R.resolve(rows.limit(0), registry).count() == 0
     assert run(spark, rows, registry) == {1: ("created", None, 1, None), 2: ("alias", None, 1, None)}
+
+
+def test_names_of_common_words_meet_by_pieces_not_by_pairs(spark):
+    """Names of the same few bigrams in other orders share no piece in its place, so hardly any of their pairs are met."""
+    rnd = random.Random(4)
+    names = sorted({"".join(rnd.choice(["THE", "AND", "OF ", "DE ", "LA "]) for _ in range(6)) for _ in range(400)})
+    side = R._signed(spark.createDataFrame([(x,) for x in names], "name string"))
+    met = R._pieces(side, "blocks", 0.92).withColumnRenamed("name", "a").join(R._places(side, "blocks", 0.92).withColumnRenamed("name", "b"), "key").select("a", "b").distinct()
+    n = len(names)
+    assert n <= met.count() < n * n / 4
+    near = {(a, b) for a in names for b in names if SequenceMatcher(None, a, b).ratio() >= 0.92}
+    assert near <= {tuple(r) for r in met.collect()}
+
+
+def test_first_words_as_of_the_whole_text(spark, tmp_path):
+    texts = [None, "", " .", "a", "Ñandú--x2 été four five", "ß1ſ2", "İstanbul Kelvin x y", "one\n\ntwo" + " " * 3000 + "three", "-" * 5000 + "z", "w" * 5000, "日本 one"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    every = F.slice(F.regexp_extract_all(S.fold(F.coalesce("text", F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1)), 1, 3)
+    want = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", F.upper(F.array_join(every, " "))).collect()
+    assert sorted(map(tuple, party_names(spark, str(tmp_path)).collect())) == sorted(map(tuple, want))
