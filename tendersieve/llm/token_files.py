@@ -29,7 +29,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialize, slices
+from .common import discard, materialize, slices
 from .prefix import running_sum
 from .range_coder import decode_blocks, encode_blocks
 
@@ -144,7 +144,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str =
     coded = materialize(rows.mapInArrow(_tokenize(tokenizer, end), "uid long, id long, ids binary"), "ids")
     keys = [F.col("id").asc_nulls_last(), F.col("uid")]
     dealt = coded.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", "ids")
-    dealt.mapInArrow(_code(block, lanes), BLOCKS).write.parquet(f"{folder}/blocks")
+    dealt.mapInArrow(_code(block, lanes), BLOCKS).write.option("compression", "zstd").parquet(f"{folder}/blocks")
+    discard(coded)
     sizes = docs.sparkSession.read.schema(BLOCKS).parquet(f"{folder}/blocks").select("part", "seq", "n")
     ends = running_sum(sizes, [], ["part", "seq"], F.col("n"), "end")
     ends.select("part", "seq", (F.col("end") - F.col("n")).alias("start")).write.parquet(f"{folder}/index")
@@ -183,19 +184,28 @@ def read_parts(spark: SparkSession, folder: str, lanes: int = LANES) -> DataFram
     return blocks.join(index, ["part", "seq"]).select("n", "docs", "payload", "crc32", "start").mapInArrow(_read(lanes), "id long, start long, at long, n int, more boolean, ids binary")
 
 
+def _joined(parts: list[tuple[int, int]]) -> int:
+    """The crc32 of bytes of which each part's (number of bytes, crc32) is known: as zeros behind them change the crc32 of those before."""
+    crc = 0
+    for size, own in parts:
+        zeros = bytes(size)
+        crc = zlib.crc32(zeros, crc) ^ zlib.crc32(zeros) ^ own
+    return crc
+
+
 def _crc():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crc = [zlib.crc32(b"".join(p)) for p in batch.column("pieces").to_pylist()]
+            crc = [_joined([(4 * p["n"], p["crc"]) for p in x]) for x in batch.column("pieces").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.select(["id", "start", "n_tokens"]).columns, pa.array(crc, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
 
 def digests(parts: DataFrame) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of every document; only those of several parts are brought together."""
-    parts = materialize(parts, "parts")
+    """(id, start, n_tokens, ids_crc32) of every document; ids of several parts need not come together, as their crc32 join."""
+    parts = materialize(parts.select("id", "start", "at", "n", "more", F.crc32("ids").alias("crc")), "parts")
     alone = (F.col("at") == 0) & ~F.col("more")
-    one = parts.where(alone).select("id", "start", F.col("n").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-    several = parts.where(~alone).groupBy("start").agg(F.first("id").alias("id"), F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("at", "ids")))["ids"].alias("pieces"))
+    one = parts.where(alone).select("id", "start", F.col("n").cast("long").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    several = parts.where(~alone).groupBy("start").agg(F.first("id").alias("id"), F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("at", "n", "crc"))).alias("pieces"))
     return one.unionByName(several.select("id", "start", "n_tokens", "pieces").mapInArrow(_crc(), "id long, start long, n_tokens long, ids_crc32 long"))

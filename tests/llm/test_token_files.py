@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from tendersieve.llm import common
 from tendersieve.llm.range_coder import decode_blocks, encode_blocks
 from tendersieve.llm.token_files import BLOCK, digests, read_parts, write_tokens
 
@@ -91,3 +92,19 @@ def test_documents_of_several_parts_are_all_read(spark, tmp_path):
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert got == want
+
+
+def test_digests_write_no_ids_and_old_ids_are_removed(spark, tmp_path, monkeypatch):
+    """What is written beside the files are numbers of a part, however long the documents are."""
+    scratch = tmp_path / "scratch"
+    monkeypatch.setattr(common, "scratch_dir", lambda _: str(scratch))
+    rnd = np.random.default_rng(3)
+    texts = ["".join(chr(97 + x) for x in rnd.integers(0, 26, 60_000)), "short"]
+    write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path / "f"), PATH)
+    assert not list(scratch.glob("ids-*"))
+    got = {r.id: (r.n_tokens, r.ids_crc32) for r in digests(read_parts(spark, str(tmp_path / "f"))).collect()}
+    t = Tokenizer.from_file(PATH)
+    want = {i: t.encode(x, add_special_tokens=False).ids + [2] for i, x in enumerate(texts)}
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+    assert len(want[0]) > 2 * BLOCK
+    assert sum(p.stat().st_size for p in scratch.rglob("*.parquet")) < 10_000
