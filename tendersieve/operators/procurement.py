@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tendersieve.functions.scalars import easter, fold, inverse_price_points, is_business_day, proportional_points, stepped_points
@@ -213,10 +215,11 @@ def bootstrap_precision(points: DataFrame, replicates: int, seed: int) -> DataFr
     Scores are grouped first: windows run over the distinct scores of a resample.
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), c("r").cast("string"), c("id").cast("string")))
-    u = F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") / (1 << 24)
-    times = F.coalesce(*[F.when(u < x, k) for k, x in enumerate(POISSON)], F.lit(len(POISSON)))
-    drawn = points.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("k", times).where("k > 0")
-    g = drawn.groupBy("r", "score").agg(F.sum(c("k") * c("truth")).alias("hits"), F.sum("k").alias("n"))
+    # six digits in order of text are in order of value; rows that are drawn no time add nothing, so no filter takes the digest twice
+    below = [f"{math.ceil(x * (1 << 24)):06x}" for x in POISSON]
+    drawn = points.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("u", F.substring(digest, 1, 6))
+    times = F.coalesce(*[F.when(c("u") < x, k) for k, x in enumerate(below)], F.lit(len(POISSON)))
+    g = drawn.withColumn("k", times).groupBy("r", "score").agg(F.sum(c("k") * c("truth")).alias("hits"), F.sum("k").alias("n")).where("n > 0")
     steps = g.selectExpr("r", "hits", "sum(hits) OVER (PARTITION BY r ORDER BY score DESC) AS tp", "sum(n) OVER (PARTITION BY r ORDER BY score DESC) AS seen", "sum(hits) OVER (PARTITION BY r) AS positives")
     ap = steps.groupBy("r").agg(F.sum(c("hits") / c("positives") * c("tp") / c("seen")).alias("ap"))
     return ap.agg(F.round(F.percentile("ap", 0.025), 6).alias("low"), F.round(F.percentile("ap", 0.975), 6).alias("high"), F.count("*").alias("resamples"))

@@ -1,6 +1,8 @@
 import datetime as dt
+import hashlib
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tendersieve.operators import procurement as P
@@ -50,3 +52,22 @@ def test_first_documents_of_terms_are_those_with_an_id(spark):
     rows = [(None, "zebra without id"), (7, "zebra late"), (5, "zebra first"), (5, "another of the same id"), (9, None)]
     got = P.emerging_terms(spark.createDataFrame(rows, "doc_id long, text string"), ["license"], ["the"], 3, 5).collect()
     assert [tuple(r) for r in got] == [("zebra", 3, "zebra first")]
+
+
+def test_bootstrap_equals_row_by_row_and_takes_a_digest_once(spark):
+    rows = [(i, i % 7, int(i % 3 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, score int, truth int")
+    aps = []
+    for r in range(1, 9):
+        drawn = []
+        for i, score, truth in rows:
+            u = int(hashlib.md5(f"5:{r}:{i}".encode()).hexdigest()[:6], 16) / (1 << 24)
+            drawn += [(score, truth)] * next((k for k, x in enumerate(P.POISSON) if u < x), len(P.POISSON))
+        ap = 0.0
+        for score in sorted({s for s, _ in drawn}):
+            above = [t for s, t in drawn if s >= score]
+            ap += sum(t for s, t in drawn if s == score) / sum(t for _, t in drawn) * sum(above) / len(above)
+        aps.append(ap)
+    got = P.bootstrap_precision(df, 8, 5)
+    assert [round(x, 6) for x in (got.first()["low"], got.first()["high"])] == [round(float(x), 6) for x in np.percentile(aps, [2.5, 97.5])]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
