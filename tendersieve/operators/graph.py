@@ -31,15 +31,15 @@ def components(edges: DataFrame) -> DataFrame:
     A label points to a lesser node. In each round the least label of the neighbours' labels is offered to
     the node and to the node that its label names, and labels jump to their label's label, until nothing
     changes: whole trees join at once, so rounds grow with the logarithm of the nodes and not with
-    the length of paths. Rounds are written, so lineage stays short.
+    the length of paths. Rounds are written, so lineage stays short; labels are a row a node and never broadcast.
     """
     both = cut(edges.select("a", "b").unionByName(edges.select(c("b").alias("a"), c("a").alias("b"))).where("a is not null and b is not null").distinct(), "edges")
     label = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(c("a").alias("node"), F.least("a", "m").alias("component")), "labels")
     while True:
         top = label.select(c("node").alias("component"), c("component").alias("top"))
-        up = cut(label.join(top, "component").select("node", "component", "top"), "tops")
-        near = both.join(up.select(c("node").alias("b"), "top"), "b").groupBy("a").agg(F.min("top").alias("m"))
-        step = cut(up.join(near, up.node == near.a).select("node", "component", "top", "m"), "steps")
+        up = cut(label.join(top.hint("merge"), "component").select("node", "component", "top"), "tops")
+        near = both.join(up.select(c("node").alias("b"), "top").hint("merge"), "b").groupBy("a").agg(F.min("top").alias("m"))
+        step = cut(up.join(near.hint("merge"), up.node == near.a).select("node", "component", "top", "m"), "steps")
         offers = step.select("node", F.least("component", "top", "m").alias("new"), c("component").alias("old")).unionByName(step.select(c("component").alias("node"), c("m").alias("new"), F.lit(None).alias("old")))
         told = cut(offers.groupBy("node").agg(F.min("new").alias("component"), F.min("old").alias("old")), "labels")
         label = told.select("node", "component")
