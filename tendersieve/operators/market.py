@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tendersieve.functions.scalars import band, competition_band, discount, urgency, valid_pair
@@ -10,6 +12,8 @@ from .overview import cents, count_if
 from .percentiles import percentiles
 
 c = F.col
+#: Awards that a task joins and groups at a time.
+PAIR_ROWS = 1 << 18
 
 
 def discounts(awards: DataFrame, key: str, least: int) -> DataFrame:
@@ -86,10 +90,16 @@ def breakdown(awards: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def partner_pairs(awards: DataFrame, least: int) -> DataFrame:
-    """Unordered pairs of companies with awards in the same tender: the members of one tender are few (its lots)."""
-    member = awards.groupBy("tender_id", "company_id").agg(F.sum("awarded").alias("w"))
+    """Unordered pairs of companies with awards in the same tender: the members of one tender are few (its lots).
+
+    Rows are dealt by number, so that a task's sorts and groups are as large at any size of the input; hardly a pair
+    repeats within a task of large tables, so pairs are grouped only where all of a pair are.
+    """
+    tasks = max(awards.sparkSession.sparkContext.defaultParallelism, math.ceil(awards.count() / PAIR_ROWS))
+    member = awards.repartition(tasks, "tender_id").groupBy("tender_id", "company_id").agg(F.sum("awarded").alias("w"))
     a, b = member.select("tender_id", c("company_id").alias("a"), c("w").alias("wa")), member.select("tender_id", c("company_id").alias("b"), c("w").alias("wb"))
-    return a.join(b, "tender_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.sum(c("wa") + c("wb")), 4).alias("amount")).where(c("n") >= least)
+    met = a.join(b, "tender_id").where("a < b").select("a", "b", (c("wa") + c("wb")).alias("w")).repartition(2 * tasks, "a", "b")
+    return met.groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.sum("w"), 4).alias("amount")).where(c("n") >= least)
 
 
 def same_day_winners(awards: DataFrame) -> DataFrame:
