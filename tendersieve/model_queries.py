@@ -10,6 +10,7 @@ from tendersieve.operators.evaluation import calibration_error
 from tendersieve.operators.quantiles import coverage, fit_tree, paired_error
 from tendersieve.plans.domain import awards, table, tenders
 from tendersieve.registry import query
+from tendersieve.sources.files import cut
 
 c = F.col
 
@@ -27,7 +28,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     rows = rows.select("doc_id", "text", c("quality").alias("label"), F.floor(c("doc_id") / 10).alias("day"))
     early, late = later_share(rows, "day", "doc_id", 0.3)
     model = train(early, "day", "doc_id", share=0.3, size=1 << 12)
-    scored = model.score(late)
+    scored = cut(model.score(late).select("label", "probability"), "scored")
     best = tune_threshold(scored, "probability", "label", cost_fn=4.0)
     figures = [F.lit(float(best[k]) if best else None).cast("double").alias(k) for k in ("threshold", "fbeta", "precision", "recall", "p5", "p95")]
     return calibration_error(scored, c("probability"), c("label")).select("ece", "n", *[F.lit(v).alias(k) for k, v in model.metadata.items() if k != "n"], *figures)

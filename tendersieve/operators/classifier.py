@@ -43,21 +43,22 @@ def later_share(rows: DataFrame, day: str, key: str, share: float) -> tuple[Data
     return early, rows.where(c(day).isNotNull() & at.isNull() | (c(day) > at)).unionByName(same.where(c("place__") > taken).drop("place__"))
 
 
-def _pipeline(size: int) -> Pipeline:
-    return Pipeline(stages=[
+def _counts(size: int) -> PipelineModel:
+    """Words and pairs of a text as places of ``counts``: nothing of it is learned."""
+    return PipelineModel([
         RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}\p{N}_]+"), NGram(n=2, inputCol="words", outputCol="pairs"),
         HashingTF(inputCol="words", outputCol="word_counts", numFeatures=size, binary=True), HashingTF(inputCol="pairs", outputCol="pair_counts", numFeatures=size, binary=True),
-        VectorAssembler(inputCols=["word_counts", "pair_counts"], outputCol="counts"), IDF(inputCol="counts", outputCol="features", minDocFreq=2),
-        LogisticRegression(labelCol="label", weightCol="weight", regParam=0.01, maxIter=50),
+        VectorAssembler(inputCols=["word_counts", "pair_counts"], outputCol="counts"),
     ])
 
 
-def _fit(rows: DataFrame, size: int) -> PipelineModel:
-    """Both classes weigh the same in all."""
+def _fit(rows: DataFrame) -> PipelineModel:
+    """By ``counts``; both classes weigh the same in all."""
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n = sum(counts.values())
     weight = F.when(c("label") == 1.0, n / (2 * counts[1.0])).otherwise(n / (2 * counts[0.0]))
-    return _pipeline(size).fit(rows.withColumn("weight", weight))
+    steps = Pipeline(stages=[IDF(inputCol="counts", outputCol="features", minDocFreq=2), LogisticRegression(labelCol="label", weightCol="weight", regParam=0.01, maxIter=50)])
+    return steps.fit(rows.select("label", "counts", weight.alias("weight")))
 
 
 def _raw(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -102,16 +103,18 @@ def train(rows: DataFrame, day: str, key: str, *, share: float = 0.2, method: st
 
     Rows without a label take no part; a null text is empty. Raises ``TooFewRows`` where a part has too few rows or one class only.
     """
-    known = cut(rows.where(c("label").isNotNull()).withColumn("label", c("label").cast("double")).withColumn("text", F.coalesce("text", F.lit(""))), "labelled")
-    early, late = (cut(x, "fold") for x in later_share(known, day, key, share))
+    words = _counts(size)
+    texts = rows.where(c("label").isNotNull()).select(c(day).alias("day"), c(key).alias("key"), c("label").cast("double").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
+    known = cut(words.transform(texts).select("day", "key", "label", "counts"), "labelled")  # each text is taken apart once, both fits read its counts
+    early, late = (cut(x, "fold") for x in later_share(known, "day", "key", share))
     sizes = {}
     for name, part, fewest in (("earlier", early, 2), ("later", late, least_later), ("all", known, least)):
         counts = {r["label"]: r["n"] for r in part.groupBy("label").agg(F.count("*").alias("n")).collect()}
         sizes[name] = sum(counts.values())
         if sizes[name] < fewest or not counts.get(1.0) or not counts.get(0.0):
             raise TooFewRows(f"{name}: {counts}")
-    fold = calibrate(_raw(_fit(early, size), late), method)
-    return Classifier(_fit(known, size), fold, method, {"n_fit": sizes["earlier"], "n_calibration": sizes["later"], "n": sizes["all"]})
+    fold = calibrate(cut(_raw(_fit(early), late).select("label", "raw"), "raw"), method)
+    return Classifier(PipelineModel([*words.stages, *_fit(known).stages]), fold, method, {"n_fit": sizes["earlier"], "n_calibration": sizes["later"], "n": sizes["all"]})
 
 
 def grid_counts(rows: DataFrame, score: str, label: str, step: float = STEP) -> DataFrame:

@@ -88,3 +88,16 @@ def test_learns_what_is_told(spark):
         C.train(df.limit(0), "day", "id")
     with pytest.raises(C.TooFewRows, match="earlier|later"):
         C.train(df.withColumn("label", F.col("id").between(231, 239).cast("int")), "day", "id")
+
+
+def test_texts_are_taken_apart_once(spark, monkeypatch):
+    """Both fits and the calibration read written counts, no text; the model scores texts as its fit saw them."""
+    rnd = random.Random(6)
+    rows = [(i, i // 5, " ".join(rnd.choices("abcdefgh", k=7)) + (" server" if i % 3 == 0 else " bridge"), int(i % 3 == 0)) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, day int, text string, label int")
+    written, write = [], C.cut
+    monkeypatch.setattr(C, "cut", lambda df, tag: (written.append((tag, df.columns)), write(df, tag))[1])
+    model = C.train(df, "day", "id", size=1 << 10)
+    assert ("labelled", ["day", "key", "label", "counts"]) in written and not any("text" in columns for _, columns in written)
+    assert [type(x).__name__ for x in model.base.stages[-2:]] == ["IDFModel", "LogisticRegressionModel"]
+    assert all((r["probability"] > 0.5) == bool(r["label"]) for r in model.score(df).collect())
