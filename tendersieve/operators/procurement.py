@@ -179,28 +179,35 @@ def reckless_cuts(awards: DataFrame, percent: float) -> DataFrame:
     return awards.where((c("budget") > 0) & (c("awarded") > 0) & (percent_off >= percent)).select("tender_id", "lot", percent_off.alias("cut_percent"))
 
 
+#: Bits of a number below its level; targets that a task groups at a time; counts of a level that are broadcast.
+LEVEL_BITS, TARGETS, FEW = 56, 1 << 18, 1 << 16
+
+
 def cohort_levels(targets: DataFrame, history: DataFrame, least: int) -> DataFrame:
     """(id, level, n): the first of seven cohorts of at least ``least`` past awards, else the first with any.
 
     Both sides have body, code, size (a band of amounts) and competition; the levels loosen from all four to none.
-    Counts are aggregates by level and key, written before the join so that a key of very many targets can be split; every
-    target looks up one row a level, so history is never paired with it. The last level is one number for all.
+    History is counted by all four once and the other levels from these counts, each written before its join, so that
+    few of them are broadcast and a key of very many targets can be split. A target stays one row through all joins; what was found is
+    dealt by number, so that a task groups as many rows at any size of the input. The last level is one number for all.
     """
     levels = (("body", "code", "size", "competition"), ("body", "code", "size"), ("code", "size", "competition"), ("code", "size"), ("code",), ("size",))
-    names = ("body", "code", "size", "competition")
-
-    def keyed(rows: DataFrame, *extra: str) -> DataFrame:
-        usable = [F.when(~sum((c(k).isNull().cast("int") for k in ks), F.lit(0)).cast("boolean"), F.struct(F.lit(i).alias("level"), F.xxhash64(F.lit(i), *[c(k) for k in ks]).alias("cohort"))) for i, ks in enumerate(levels, 1)]
-        return rows.select(*extra, F.explode(F.array_compact(F.array(*usable))).alias("x")).select(*extra, "x.*")
-
-    counts = cut(keyed(history.select(*names)).groupBy("level", "cohort").agg(F.count("*").alias("n")), "counts")
-    found = keyed(targets.select("id", *names), "id").join(counts, ["level", "cohort"])
-    total = history.count()
-    every = F.struct(F.lit(len(levels) + 1).alias("level"), F.lit(total).cast("long").alias("n"))
-    best = found.groupBy("id").agg(F.min(F.when(c("n") >= least, F.struct("level", "n"))).alias("enough"), F.min(F.struct("level", "n")).alias("any"))
-    best = targets.select("id").distinct().join(best, "id", "left")
+    names = levels[0]
+    tuples = cut(history.groupBy(*names).agg(F.count("*").alias("n")), "tuples")
+    total = tuples.agg(F.sum("n")).first()[0] or 0
+    found = targets.select("id", *names)
+    for i, keys in enumerate(levels, 1):
+        known = tuples.dropna(subset=list(keys))
+        counts = known if keys == names else cut(known.groupBy(*keys).agg(F.sum("n").alias("n")), "counts")
+        found = found.join(counts.withColumnRenamed("n", f"n{i}").hint("broadcast" if counts.count() <= FEW else "merge"), list(keys), "left")
+    # level and number as one, so that no struct has to be sorted for its least
+    packed = [F.when(c(f"n{i}").isNotNull(), F.lit(i << LEVEL_BITS) + c(f"n{i}")) for i in range(1, len(levels) + 1)]
+    enough = F.coalesce(*[F.when(c(f"n{i}") >= least, x) for i, x in enumerate(packed, 1)])
+    found = cut(found.select("id", enough.alias("enough"), F.coalesce(*packed).alias("any")), "found")
+    best = found.repartition(max(1, math.ceil(found.count() / TARGETS)), "id").groupBy("id").agg(F.min("enough").alias("enough"), F.min("any").alias("any"))
+    every = F.lit((len(levels) + 1 << LEVEL_BITS) + total)
     chosen = F.coalesce("enough", F.when(F.lit(total >= least), every), "any", F.when(F.lit(total > 0), every))
-    return best.select("id", chosen.alias("x")).where("x is not null").select("id", "x.level", "x.n")
+    return best.select("id", chosen.alias("x")).where("x is not null").select("id", F.shiftright("x", LEVEL_BITS).cast("int").alias("level"), c("x").bitwiseAND((1 << LEVEL_BITS) - 1).alias("n"))
 
 
 #: Shares of a Poisson variable of mean 1 that are at most 0, 1, 2, ...

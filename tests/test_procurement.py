@@ -40,6 +40,24 @@ def test_cohorts_loosen_to_all(spark):
     assert P.cohort_levels(frames[0], frames[1].limit(0), 1).count() == 0
 
 
+def test_cohorts_are_dealt_by_number_whatever_the_join(spark, monkeypatch):
+    """A target goes through as one row, ids are grouped in as many tasks as they need, without a sort of structs."""
+    history = [(f"b{i % 3}", f"c{i % 2}", "s1", None if i % 5 == 0 else "k1") for i in range(40)]
+    targets = [(i // 2, f"b{i % 4}", f"c{i % 3}", "s1" if i % 7 else None, "k1") for i in range(30)]
+    frames = spark.createDataFrame(targets, "id long, body string, code string, size string, competition string"), spark.createDataFrame(history, "body string, code string, size string, competition string")
+    want = {}
+    for id_, *own in targets:
+        counts = [(level, sum(all(h[COLUMNS.index(k)] == own[COLUMNS.index(k)] for k in keys) for h in history)) for level, keys in enumerate(LEVELS, 1)]
+        want.setdefault(id_, []).extend((n < 5, level, n) for level, n in counts if n)
+    monkeypatch.setattr(P, "TARGETS", 7)
+    for few in (0, 1 << 16):
+        monkeypatch.setattr(P, "FEW", few)
+        out = P.cohort_levels(*frames, 5)
+        assert {r["id"]: (r["level"], r["n"]) for r in out.collect()} == {k: min(v)[1:] for k, v in want.items()}
+        plan = out._jdf.queryExecution().toString()
+        assert "REPARTITION_BY_NUM" in plan and "SortAggregate" not in plan and "hashpartitioning(id#" in plan
+
+
 def test_resamples_draw_as_a_poisson_variable(spark):
     n = 20_000
     digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("5"), F.lit("1"), F.col("id").cast("string"))), 1, 6), 16, 10).cast("long") / (1 << 24)
