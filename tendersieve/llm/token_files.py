@@ -7,9 +7,9 @@ or lost alone. ``range_coder`` has the models and the coding; the blocks of a ta
 side by side, up to ``LANES`` at a time, which bounds memory. Ids have 16 bits: a vocabulary
 of more than 65,536 ids is refused.
 
-Files: ``blocks`` (Parquet; part, seq, n, docs, payload, crc32; docs has the documents' ids, numbers of
-ids here and before, and whether they go on) in document order, and
-``index`` (Parquet; part, seq, start), the number of ids before each block.
+Files: ``blocks`` (Parquet; part, seq, n, before, docs, payload, crc32; before counts the part's ids before the
+block, docs has the documents' ids, numbers of ids here and before, and whether they go on) in document order, and
+``index`` (Parquet; part, start), the number of ids before each part: a row a part, so blocks are read where they lie.
 
 Defined cases: null is the empty text (only the end id); null document ids come last; rows of
 equal id stay in the order they are read; an empty table gives empty files; a block whose crc32
@@ -39,11 +39,16 @@ END = 2
 
 #: Splits a text as the vocabulary's byte-level pre-tokenizer does; a fixed value.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-WORDS = 500_000
+#: A space amid other white space: the only kind that the pre-tokenizer may not begin a word at.
+LONE = regex.compile(r"\s (?:\s|\Z)")
+WORDS = 1_000_000
 
 
 class _Coder:
-    """The tokenizers library behind a memory of pre-tokens, each of which it encodes alone anyway."""
+    """The tokenizers library behind a memory of what stands between spaces, which it encodes alone anyway.
+
+    Words that are not known yet are encoded as one text, and cut again by the bytes that each id stands for.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task on each core
@@ -53,21 +58,46 @@ class _Coder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("token files hold ids of 16 bits; the vocabulary has more")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes[list(vocabulary.values())] = [len(x) for x in vocabulary]  # a character of the vocabulary is a byte
         self.known: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 16-bit integers."""
-        if any(x in text for x in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        words = PATTERN.findall(text)
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _behind_spaces(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a space before it; no word is empty or begins with white space."""
+        spaced = [f" {w}" for w in words]
+        whole = "".join(spaced)
+        ids = np.array(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, "<u2")
+        ends, wanted = np.cumsum(self.bytes[ids]), np.cumsum([len(x.encode()) for x in spaced])
+        at = np.searchsorted(ends, wanted)
+        if any(x in whole for x in self.special) or at[-1] != len(ids) - 1 or (ends[at] != wanted).any():
+            return self._alone(spaced)
+        raw, cuts = ids.tobytes(), [0, *(2 * (at + 1)).tolist()]
+        return [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+    def _learn(self, words: list[str]) -> None:
         known = self.known
         new = list({w: None for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > WORDS:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            known.update(zip(new, (np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return b"".join([known[w] for w in words])
+        if len(known) + len(new) > WORDS:
+            known.clear()
+            new = list(dict.fromkeys(words))
+        plain = [w for w in new if w and not w[0].isspace()]
+        other = [w for w in new if not w or w[0].isspace()]
+        if plain:
+            known.update(zip(plain, self._behind_spaces(plain), strict=True))
+        if other:
+            known.update(zip(other, self._alone([f" {w}" for w in other]), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 16-bit integers."""
+        cut: list[list[str] | None] = [None if LONE.search(x) or any(s in x for s in self.special) else x.split(" ") for x in texts]
+        self._learn([w for words in cut if words for w in words[1:]])
+        known = self.known
+        firsts = iter(self._alone([x if words is None else words[0] for x, words in zip(texts, cut, strict=True)]))
+        return [first if not words else first + b"".join([known[w] for w in words[1:]]) for first, words in zip(firsts, cut, strict=True)]
 
 
 @lru_cache(2)
@@ -80,21 +110,21 @@ def _tokenize(path: str, end: int):
         coder, stop = _coder(path), end.to_bytes(2, "little")
         for batch in batches:
             for first, part in slices(batch.column("text"), 1 << 20):
-                ids = [coder.encode(x.decode()) + stop for x in part]
+                ids = [x + stop for x in coder.encode([x.decode() for x in part])]
                 rows = batch.slice(first, len(part)).select(["uid", "id"])
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.binary())], names=["uid", "id", "ids"])
 
     return run
 
 
-BLOCKS = "part int, seq int, n int, docs array<struct<id:long,n:int,at:long,more:boolean>>, payload binary, crc32 long"
+BLOCKS = "part int, seq int, n int, before long, docs array<struct<id:long,n:int,at:long,more:boolean>>, payload binary, crc32 long"
 
 
 def _code(block: int, lanes: int):
     """Rows (id, ids) in document order to blocks; ``more``: the document goes on in the next block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, before = TaskContext.get().partitionId(), 0, 0
         docs: list[dict] = []
         held: list[np.ndarray] = []
         full: list[tuple[list[dict], np.ndarray]] = []
@@ -106,12 +136,13 @@ def _code(block: int, lanes: int):
             docs, held = [], []
 
         def write() -> pa.RecordBatch:
-            nonlocal seq, full
+            nonlocal seq, before, full
             crc = [zlib.crc32(x.astype("<u4").tobytes()) for _, x in full]
             payloads = encode_blocks([x for _, x in full])
-            rows = [{"part": part, "seq": seq + i, "n": len(x), "docs": d, "payload": p, "crc32": c} for i, ((d, x), p, c) in enumerate(zip(full, payloads, crc, strict=True))]
-            seq, full = seq + len(full), []
-            kinds = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n", pa.int32()), ("docs", pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int32()), ("at", pa.int64()), ("more", pa.bool_())]))), ("payload", pa.binary()), ("crc32", pa.int64())])
+            ends = before + np.cumsum([len(x) for _, x in full])
+            rows = [{"part": part, "seq": seq + i, "n": len(x), "before": int(ends[i]) - len(x), "docs": d, "payload": p, "crc32": c} for i, ((d, x), p, c) in enumerate(zip(full, payloads, crc, strict=True))]
+            seq, before, full = seq + len(full), int(ends[-1]), []
+            kinds = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n", pa.int32()), ("before", pa.int64()), ("docs", pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int32()), ("at", pa.int64()), ("more", pa.bool_())]))), ("payload", pa.binary()), ("crc32", pa.int64())])
             return pa.RecordBatch.from_pylist(rows, kinds)
 
         room = block
@@ -146,9 +177,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str =
     dealt = coded.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", "ids")
     dealt.mapInArrow(_code(block, lanes), BLOCKS).write.option("compression", "zstd").parquet(f"{folder}/blocks")
     discard(coded)
-    sizes = docs.sparkSession.read.schema(BLOCKS).parquet(f"{folder}/blocks").select("part", "seq", "n")
-    ends = running_sum(sizes, [], ["part", "seq"], F.col("n"), "end")
-    ends.select("part", "seq", (F.col("end") - F.col("n")).alias("start")).write.parquet(f"{folder}/index")
+    sizes = docs.sparkSession.read.schema(BLOCKS).parquet(f"{folder}/blocks").groupBy("part").agg(F.sum("n").alias("n"))
+    ends = running_sum(sizes, [], ["part"], F.col("n"), "end")
+    ends.select("part", (F.col("end") - F.col("n")).alias("start")).write.parquet(f"{folder}/index")
 
 
 def _read(lanes: int):
@@ -180,8 +211,9 @@ def read_parts(spark: SparkSession, folder: str, lanes: int = LANES) -> DataFram
     the document goes on in the next block.
     """
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
-    index = spark.read.schema("part int, seq int, start long").parquet(f"{folder}/index")
-    return blocks.join(index, ["part", "seq"]).select("n", "docs", "payload", "crc32", "start").mapInArrow(_read(lanes), "id long, start long, at long, n int, more boolean, ids binary")
+    index = spark.read.schema("part int, start long").parquet(f"{folder}/index")
+    placed = blocks.join(F.broadcast(index), "part").select("n", "docs", "payload", "crc32", (F.col("start") + F.col("before")).alias("start"))
+    return placed.mapInArrow(_read(lanes), "id long, start long, at long, n int, more boolean, ids binary")
 
 
 def _joined(parts: list[tuple[int, int]]) -> int:

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -5,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tendersieve.llm import common
+from tendersieve.llm import common, token_files
 from tendersieve.llm.range_coder import decode_blocks, encode_blocks
 from tendersieve.llm.token_files import BLOCK, digests, read_parts, write_tokens
 
@@ -108,3 +109,34 @@ def test_digests_write_no_ids_and_old_ids_are_removed(spark, tmp_path, monkeypat
     assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
     assert len(want[0]) > 2 * BLOCK
     assert sum(p.stat().st_size for p in scratch.rglob("*.parquet")) < 10_000
+
+
+def test_payloads_are_read_where_they_lie(spark, tmp_path):
+    """The index has a row a part and goes to the blocks, not they to it, whatever is thought small."""
+    folder = str(tmp_path / "f")
+    docs = spark.createDataFrame([(i, f"{i} words " * (1 + i % 30)) for i in range(200)], "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        write_tokens(docs, folder, PATH, block=64, lanes=3)
+        plan = read_parts(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    blocks, index = spark.read.parquet(f"{folder}/blocks").collect(), {r.part: r.start for r in spark.read.parquet(f"{folder}/index").collect()}
+    assert len(index) == len({b.part for b in blocks}) < len(blocks)
+    start = 0
+    for b in sorted(blocks, key=lambda b: (b.part, b.seq)):
+        assert index[b.part] + b.before == start
+        start += b.n
+
+
+def test_texts_cut_at_spaces_have_the_ids_of_the_whole(monkeypatch):
+    rnd = random.Random(1)
+    parts = ["a", "b ", " ", "  ", "\n", "\t", "'s", "1", "é", "-", "\x85", "​", "\x1f", " x", "<|", "foo", "　", "<|endoftext|>"]
+    texts = ["", " ", "a ", "a\n \nb", "a\n ", "don't 's 'll", *("".join(rnd.choices(parts, k=rnd.randrange(1, 30))) for _ in range(3000))]
+    whole = Tokenizer.from_file(PATH)
+    for most in (5, 1_000_000):
+        monkeypatch.setattr(token_files, "WORDS", most)
+        coder = token_files._Coder(PATH)
+        got = [x for i in range(0, len(texts), 100) for x in coder.encode(texts[i : i + 100])]
+        assert got == [np.array(whole.encode(x, add_special_tokens=False).ids, "<u2").tobytes() for x in texts]
