@@ -1,17 +1,21 @@
 """Standing rules as a table: intervals joined by halving buckets, windows of each rule's own, what was told before left out.
 
 ``match_rules`` gives every pair, which grows with rules times tenders. What a rule tells (its newest rows) and its totals
-come without them: rules that ask the same segment, region and prefix form a class; tenders of a class lie in
-buckets, of amounts or of days, that any rule's interval is a few of.
+come without them: rules that ask the same segment, region and prefix form a class. For its totals, tenders of a class lie in
+buckets of days that any rule's interval is a few of; for the newest rows, tenders and rules are gone through in order of amount.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right, insort
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tendersieve.sources.files import cut
@@ -115,44 +119,148 @@ def rule_totals(rules: DataFrame, tenders: DataFrame) -> DataFrame:
     return whole.join(rules.select("row__", "rule_id"), "row__").groupBy("rule_id").agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"), F.max("newest").alias("newest"))
 
 
-#: Tenders between two bounds of amounts, at most in the mean.
-BETWEEN = 256
+#: Tenders and rules of a part of the sweep, in the mean; and cells of amounts by which tenders that no rule comes to are told.
+BETWEEN, CELLS = 1 << 15, 64
+
+
+def _before(most: int):
+    """Of a class's newest tenders by place, and rows without a tender for other places: for each place the ``most`` newest of all places before it."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("place")
+        places = rows["place"].to_numpy()
+        state, out = rows.slice(0, 0), [rows.slice(0, 0)]
+        for place in np.unique(places).tolist():
+            out.append(state.set_column(rows.schema.get_field_index("place"), rows.schema.field("place"), pa.repeat(pa.scalar(place, rows.schema.field("place").type), len(state))))
+            lo, hi = np.searchsorted(places, [place, place + 1])
+            state = pa.concat_tables([state, rows.slice(lo, hi - lo)])
+            state = state.filter(state["published"].is_valid())
+            state = state.take(pa.compute.sort_indices(state, [("published", "descending"), ("id", "ascending")], null_placement="at_start")[:most])
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _carried(rows: DataFrame, most: int, places: DataFrame | None = None) -> DataFrame:
+    """(class__, place, id, published, day__): for each place of ``rows`` or ``places`` the newest tenders of its class at earlier places of ``rows``."""
+    newest = Window.partitionBy("class__", "place").orderBy(F.desc("published"), "id")
+    heads = rows.select("class__", "place", "id", "published", "day__").withColumn("nth", F.row_number().over(newest)).where(c("nth") <= most).drop("nth")
+    if places is not None:
+        heads = heads.unionByName(places.select("class__", "place").distinct(), allowMissingColumns=True)
+    return heads.groupBy("class__").applyInArrow(_before(most), heads.schema)
+
+
+def _sweep(limit: int, most: int):
+    """Of parts in order of amount: the newest tenders so far are kept, and each rule takes those that it was not told of from them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
+        newest: list[tuple] = []  # (-published, whether there is an id, id, -day)
+        ids: list = []
+        days: list[int] | None = None
+        for batch in batches:
+            turn, part, kind = (batch.column(k).to_numpy() for k in ("turn", "part", "class__"))
+            # null where the row is a rule
+            published = batch.column("published").cast(pa.timestamp("us")).cast(pa.int64()).fill_null(0).to_numpy()
+            day_ = batch.column("day__").to_numpy()
+            new = np.flatnonzero((part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(turn)], strict=True):
+                if at != (at := (part[lo], kind[lo])):
+                    newest, days = [], None
+                rows = np.arange(lo, hi)
+                if len(newest) == most:  # all but what is as new as the last of them
+                    rows = rows[(turn[lo:hi] == RULE) | (published[lo:hi] >= -newest[-1][0])]
+                own, known = batch.column("id").take(pa.array(rows)).to_pylist(), batch.column("known__").take(pa.array(rows)).to_pylist()
+                who: list[int] = []
+                counts: list[int] = []
+                found: list = []
+                ages: list[int] = []
+                for k, r in enumerate(rows.tolist()):
+                    if turn[r] != RULE:
+                        x = (-int(published[r]), own[k] is not None, own[k], -int(day_[r]))
+                        if len(newest) < most or x < newest[-1]:
+                            insort(newest, x)
+                            del newest[most:]
+                            days = None
+                        continue
+                    if days is None:
+                        ids, days = [x[2] for x in newest], [x[3] for x in newest]
+                    n = bisect_right(days, -int(day_[r]))
+                    if known[k]:
+                        seen = set(known[k])
+                        told = [i for i in range(n) if ids[i] not in seen][:limit]
+                        found += [ids[i] for i in told]
+                        ages += [newest[i][0] for i in told]
+                        n = len(told)
+                    else:
+                        n = min(n, limit)
+                        found += ids[:n]
+                        ages += [x[0] for x in newest[:n]]
+                    who.append(r)
+                    counts.append(n)
+                    if len(found) >= 1 << 16:
+                        yield _told(batch, who, counts, found, ages)
+                        who, counts, found, ages = [], [], [], []
+                if found:
+                    yield _told(batch, who, counts, found, ages)
+
+    return run
+
+
+def _told(batch: pa.RecordBatch, who: list[int], counts: list[int], found: list, ages: list[int]) -> pa.RecordBatch:
+    n = np.array(counts, np.int64)
+    place = np.arange(1, len(found) + 1) - np.repeat(np.cumsum(n) - n, n)
+    columns = [batch.column("rule_id").take(pa.array(np.repeat(np.array(who, np.int64), n))), pa.array(found, batch.schema.field("id").type), pa.array(place.astype(np.int32)), pa.array(ages, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["rule_id", "id", "place", "age"])
+
+
+#: Order at equal amounts: what comes from parts before, tenders, rules.
+CARRIED, TENDER, RULE = 0, 1, 2
 
 
 def _newest(rules: DataFrame, tenders: DataFrame, told: DataFrame, limit: int) -> DataFrame:
-    """(rule_id, id, published): for each rule its newest tenders, ``limit`` and as many as it was told of, and perhaps others.
+    """(rule_id, id, place, age): for each row of ``rules`` its newest ``limit`` tenders that it was not told of; a greater age is an older one.
 
-    Amounts are cut at bounds, one bucket for each bound and each space between two. A rule's amounts are at most two halving buckets a
-    level, of which each gives its newest rows, and a part of one space, which gives all its rows.
+    Tenders and rules of a class are put in order of amount, the greatest first, so a rule's tenders are those before it, and as the newest
+    of them come first, no more of them are kept on the way than any rule takes and was told of. The order is cut into parts by number of
+    rows; each begins with what the parts before it would have kept. Tenders of a cell of amounts that are older than so many
+    of the cells above, which every rule that comes to them takes first, are left out before.
     """
-    rules = rules.withColumn("low__", day(c("since")))
+    rules = rules.withColumn("low__", day(c("since"))).where("low__ is not null")
     least = rules.agg(F.min("low__")).first()[0]
-    fresh = tenders.where("published is not null").withColumn("day__", day(c("published")))
-    # dealt anew: tables may lie in few files, and each row is about to become many
-    fresh = cut(fresh.where(c("day__") >= F.lit(least)).repartition("id"), "fresh")
-    needs = cut(told.join(rules.select("rule_id").distinct(), "rule_id", "left_semi").groupBy("rule_id").agg(F.count("*").alias("known__")), "needs")
-    most = limit + (needs.agg(F.max("known__")).first()[0] or 0)
-    several = max(1, fresh.count() // BETWEEN)
-    bounds = np.unique(fresh.where("amount is not null and not isnan(amount)").approxQuantile("amount", [i / several for i in range(1, several)], 0.25 / several) if several > 1 else [])
-    bits = int(2 * len(bounds) + 2).bit_length()
+    fresh = tenders.where("published is not null").withColumn("day__", day(c("published"))).where(c("day__") >= F.lit(least))
+    fresh = cut(fresh.select("id", "published", "segment", "region", "code", (c("amount") + F.lit(0.0)).alias("amount"), "day__"), "fresh")  # no -0.0
+    known = told.select("rule_id", "id").join(fresh.select("id"), "id", "left_semi").groupBy("rule_id").agg(F.collect_set("id").alias("known__"))
+    rules = cut(rules.join(known, "rule_id", "left").select("rule_id", "segment", "region", "prefix", "low__", (c("least") + F.lit(0.0)).alias("least"), "known__"), "rules")
+    most = limit + (rules.agg(F.max(F.size("known__"))).first()[0] or 0)
+    most = max(most, limit)  # the size of null may be -1
+    bounds = np.unique(fresh.where("amount is not null and not isnan(amount)").approxQuantile("amount", [i / CELLS for i in range(1, CELLS)], 0.25 / CELLS))
 
     def place(v: pd.Series) -> pd.Series:
         x = v.to_numpy(float)
-        return pd.Series(1 + np.searchsorted(bounds, x, "left") + np.searchsorted(bounds, x, "right"))
-
-    cell = F.pandas_udf(place, "long")
-    asking, met = _classes(rules.join(needs, "rule_id", "left").withColumn("need__", limit + F.coalesce("known__", F.lit(0))), fresh)
-    met = cut(met.select("class__", "id", "published", "amount", "day__", F.when(c("amount").isNull(), 0).otherwise(cell(F.coalesce("amount", F.lit(0.0)))).alias("cell")), "met")
-    asking = cut(asking.select("class__", "rule_id", "low__", "need__", "least", F.when(c("least").isNull(), 0).otherwise(cell(F.coalesce("least", F.lit(0.0)))).alias("cell")), "asking")
-    part = c("least").isNotNull() & (c("cell") % 2 == 1)
-    nodes = asking.select("*", F.explode(cover(c("cell") + part.cast("long"), F.lit(1 << bits), bits)).alias("b")).select("*", c("b.level").alias("level"), c("b.node").alias("node")).drop("b")
-    at = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("cell", k).alias("node")) for k in range(bits + 1)]))
-    lying = met.select("class__", "id", "published", "day__", at.alias("b")).select("class__", c("b.level").alias("level"), c("b.node").alias("node"), "id", "published", "day__")
-    newest = Window.partitionBy("class__", "level", "node").orderBy(F.desc("published"), "id")
-    tops = lying.withColumn("place__", F.row_number().over(newest)).where(c("place__") <= most)
-    whole = nodes.join(tops, ["class__", "level", "node"]).where("place__ <= need__ and day__ >= low__").select("rule_id", "id", "published")
-    some = asking.where(part).join(met.withColumnRenamed("amount", "own__"), ["class__", "cell"]).where("own__ >= least and day__ >= low__").select("rule_id", "id", "published")
-    return whole.unionByName(some)
+        # the greatest first, NaN above all, null last
+        return pd.Series(np.where(np.isnan(x), 0, 1 + len(bounds) - np.searchsorted(bounds, x, "right")))
+
+    cell = F.when(c("amount").isNull(), len(bounds) + 2).otherwise(F.pandas_udf(place, "long")(F.coalesce("amount", F.lit(0.0))))
+    asking, met = _classes(rules, fresh)
+    met = met.select("class__", "id", "published", "day__", "amount", cell.alias("place"))
+    above = _carried(met, most).groupBy("class__", "place").agg(F.count("*").alias("n__"), F.min("published").alias("oldest__")).where(c("n__") >= most)
+    met = met.join(F.broadcast(cut(above, "above")), ["class__", "place"], "left").where("oldest__ is null or published >= oldest__")
+
+    ids, dates, whose = (tenders.schema["id"].dataType, tenders.schema["published"].dataType, rules.schema["rule_id"].dataType)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    listed = rules.schema["known__"].dataType
+    kept = cut(met.select("class__", F.lit(TENDER).alias("turn"), "amount", "id", "published", "day__", none(whose, "rule_id"), none(listed, "known__")), "kept")
+    both = kept.unionByName(asking.select("class__", F.lit(RULE).alias("turn"), c("least").alias("amount"), none(ids, "id"), none(dates, "published"), c("low__").alias("day__"), "rule_id", "known__"))
+    several = max(1, (kept.count() + rules.count()) // BETWEEN)
+    laid = both.repartitionByRange(several, "class__", F.desc_nulls_last("amount"), "turn", F.xxhash64("id", "rule_id")).withColumn("part", F.spark_partition_id())
+    laid = cut(laid, "laid")
+    placed = laid.withColumnRenamed("part", "place")
+    carried = _carried(placed.where(c("turn") == TENDER), most, placed).withColumnRenamed("place", "part")
+    carried = carried.select("class__", F.lit(CARRIED).alias("turn"), none("double", "amount"), "id", "published", "day__", none(whose, "rule_id"), none(listed, "known__"), "part")
+    dealt = laid.unionByName(carried).repartition(several, "part")
+    dealt = dealt.sortWithinPartitions("part", "class__", c("turn") != CARRIED, F.desc_nulls_last("amount"), "turn")
+    return dealt.mapInArrow(_sweep(limit, most), f"rule_id {whose.simpleString()}, id {ids.simpleString()}, place int, age long")
 
 
 def day(x: Column) -> Column:
@@ -191,7 +299,10 @@ def evaluate_rules(rules: DataFrame, tenders: DataFrame, told: DataFrame, now: s
     due = rules.where(c("last").isNull() | (F.unix_timestamp(at) - F.unix_timestamp("last") >= days * 86400))
     since = F.coalesce(F.date_sub(F.to_date("last"), grace), F.date_sub(F.to_date(at), lookback))
     windows = due.drop("since", "until").select("*", since.alias("since"), F.lit(None).cast("date").alias("until"))
-    told = told.select("rule_id", "id").distinct()
-    fresh = _newest(cut(windows, "windows"), tenders, told, limit).join(told, ["rule_id", "id"], "left_anti")
-    place = F.row_number().over(Window.partitionBy("rule_id").orderBy(c("published").desc_nulls_last(), "id"))
-    return fresh.withColumn("place", place).where(c("place") <= limit).select("rule_id", "id", "place"), due.select("rule_id", at.alias("last"))
+    windows = cut(windows.withColumn("rows__", F.count("*").over(Window.partitionBy("rule_id"))), "windows")
+    tell = _newest(windows.where("rows__ = 1"), tenders, told, limit).select("rule_id", "id", "place")
+    several = windows.where("rows__ > 1")
+    if not several.isEmpty():  # rows of one rule_id are told of as one rule
+        place = F.row_number().over(Window.partitionBy("rule_id").orderBy("age", "id"))
+        tell = tell.unionByName(_newest(several, tenders, told, limit).withColumn("place", place).where(c("place") <= limit).select("rule_id", "id", "place"))
+    return tell, due.select("rule_id", at.alias("last"))

@@ -107,3 +107,27 @@ def test_newest_rows_of_a_rule_come_without_all_its_pairs(spark, monkeypatch):
     windows = spark.createDataFrame([(*r[:1], start, *r[2:]) for r in rules], RULES)
     # every pair would be some 60,000 rows
     assert T._newest(windows, *frames[1:], 3).count() < 20000
+
+
+def test_a_rule_comes_to_its_newest_rows_only(spark, monkeypatch):
+    """No more rows than are told, over parts and cells that cut equal amounts; rows of one rule_id count as one rule."""
+    monkeypatch.setattr(T, "BETWEEN", 50)
+    rnd = random.Random(8)
+    now, nan = dt.datetime(2024, 3, 30), float("nan")
+    amount = lambda: rnd.choice([None, nan, -0.0, 0.0, 5.0, 5.0, float(rnd.randrange(40))])
+    tenders = [(rnd.choice([None, i]), now - dt.timedelta(hours=rnd.randrange(1200)), rnd.choice("AB"), "N", rnd.choice(["45", "72"]), amount()) for i in range(1500)]
+    rules = [(rnd.randrange(70) if i % 3 else 1000 + i, None, None, rnd.choice([None, "A"]), None, rnd.choice([None, "45"]), amount(), "daily", rnd.choice([None, now - dt.timedelta(days=rnd.randrange(1, 20))])) for i in range(150)]
+    told = [(r[0], t[0]) for r in rules[:60] for t in rnd.sample(tenders, 100)]
+    order = lambda x: -1 if x is None else float("inf") if x != x else x
+    want, known = [], set(told)
+    for rule in {r[0] for r in rules}:
+        fresh = []
+        for r in rules:
+            start = r[8].date() - dt.timedelta(days=2) if r[8] else now.date() - dt.timedelta(days=30)
+            fresh += [t for t in tenders if r[0] == rule and t[1].date() >= start and meets((*r[:6], None), t) and (r[6] is None or t[5] is not None and order(t[5]) >= order(r[6])) and (t[0] is None or (rule, t[0]) not in known)]
+        want += [(rule, t[0], k) for k, t in enumerate(sorted(fresh, key=lambda t: (-t[1].timestamp(), t[0] is not None, t[0] or 0))[:4], 1)]
+    frames = [spark.createDataFrame(x, k) for x, k in ((rules, RULES), (tenders, TENDERS), (told, "rule_id long, id long"))]
+    key = lambda x: (x[0], x[2])
+    assert sorted((tuple(x) for x in T.evaluate_rules(*frames, str(now), limit=4)[0].collect()), key=key) == sorted(want, key=key)
+    windows = frames[0].withColumn("since", F.lit((now - dt.timedelta(days=30)).date()))
+    assert 0 < T._newest(windows, *frames[1:], 4).count() <= 4 * len(rules)
