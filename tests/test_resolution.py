@@ -153,3 +153,51 @@ def test_first_words_as_of_the_whole_text(spark, tmp_path):
     every = F.slice(F.regexp_extract_all(S.fold(F.coalesce("text", F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1)), 1, 3)
     want = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", F.upper(F.array_join(every, " "))).collect()
     assert sorted(map(tuple, party_names(spark, str(tmp_path)).collect())) == sorted(map(tuple, want))
+
+
+def _edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("kind, least", [("edit", 0.75), ("blocks", 0.85)])
+def test_each_way_of_two_blocks_finds_all_similar_pairs(kind, least, monkeypatch):
+    """All pairs, one equal piece or two, whatever is held at a time."""
+    monkeypatch.setattr(R, "HELD", 7)
+    rnd = random.Random(6)
+    base = ["".join(rnd.choice("abñ") for _ in range(rnd.choice([2, 3, 5, 8, 12, 20, 36]))) for _ in range(60)]
+    left, right = sorted(set(base)), sorted({typo(rnd, typo(rnd, x)) for x in base for _ in range(2)} | set(base[:20]))
+    blocks = [{n: R._Block([x for x in side if len(x) == n]) for n in {len(x) for x in side} if n > 1} for side in (left, right)]
+    similar = 0
+    for a in blocks[0].values():
+        for b in blocks[1].values():
+            k = R._most(kind, least, a.length, b.length)
+            if abs(a.length - b.length) > k:
+                continue
+            near = lambda x, y: _edit(x, y) <= k if kind == "edit" else SequenceMatcher(None, x, y).ratio() >= least - 1e-12  # noqa: B023, E731
+            want = {(i, j) for i, x in enumerate(a.names) for j, y in enumerate(b.names) if near(x, y)}
+            similar += len(want)
+            for way in (0, 1, 2):
+                assert want <= {(int(i), int(j)) for pairs in R._near(a, b, k, kind, way) for i, j in zip(*pairs, strict=True)}
+    assert similar > 60
+
+
+def test_what_pairs_of_names_hold_is_not_dealt(spark):
+    """Only almost similar pairs are shuffled: the plan has one exchange, above the edit distance."""
+    names = spark.createDataFrame([(x,) for x in made()], "name string")
+    plan = R.similar_names(names, names, 0.8, "edit")._jdf.queryExecution().executedPlan().toString()
+    join = plan[plan.index("CartesianProduct") :].split("\nUnion")[0]
+    assert "Exchange" not in join[: join.index("FileScan")] and "levenshtein" in plan[: plan.index("CartesianProduct")]
+
+
+def test_names_that_share_their_first_half(spark):
+    """All pairs hold two equal pieces; those of few edits are told, and no others."""
+    rnd = random.Random(5)
+    names = sorted({"common begin " + "".join(rnd.choice("ab") for _ in range(11)) for _ in range(300)})
+    side = spark.createDataFrame([(x,) for x in names], "name string")
+    got = {(r["a"], r["b"]) for r in R.similar_names(side, side, 0.9, "edit").collect()}
+    assert got == {(a, b) for a in names for b in names if _edit(a, b) <= 2}
